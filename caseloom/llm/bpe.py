@@ -43,6 +43,8 @@ class Ranks:
         """The rank of the token that a and b merge to, or -1."""
         r = self.known.get((a, b))
         if r is None:
+            if len(self.known) > 300_000:
+                self.known.clear()
             r = self.known[a, b] = self.rank.get(self.token[a] + self.token[b], -1)
         return r
 
@@ -139,7 +141,7 @@ def replay(words: list[bytes], ranks: Ranks) -> list[bytes]:
 class Encoder:
     """Texts to ids as little-endian unsigned 32-bit integers, with a cache of segments; and back."""
 
-    def __init__(self, path: str, pattern: str, block: int = 60_000, cached: int = 400_000):
+    def __init__(self, path: str, pattern: str, block: int = 40_000, cached: int = 200_000):
         self.ranks, self.pattern, self.block, self.cached = Ranks(path), regex.compile(pattern), block, cached
         self.cache = SegmentCache(self._segments, cached // 4)
         self.young: dict[str, bytes] = {}
@@ -190,20 +192,24 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _encoders[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", rows: int = 1500) -> DataFrame:
-    """id_col, ids (binary, little-endian unsigned 32-bit). rows: texts that are encoded together."""
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", rows: int = 1000, decoded: bool = False) -> DataFrame:
+    """id_col, ids (binary, little-endian unsigned 32-bit), and with decoded the bytes that the ids stand for, made
+    from the ids in the same worker. rows: texts that are encoded together."""
     picked = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
+    names = [id_col, "ids", "decoded"][:2 + decoded]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 b = whole.slice(at, rows)
                 ids = e.encode(b.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=[id_col, "ids"])
+                back = [pa.array([e.decode(x) for x in ids], pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), *back], names=names)
 
     kind = picked.schema[0].dataType.simpleString()
-    return picked.mapInArrow(run, f"`{id_col}` {kind}, ids binary")
+    return picked.mapInArrow(run, f"`{id_col}` {kind}, ids binary" + ", decoded binary" * decoded)
 
 
 def decode(ids: Column | str, path: str, pattern: str) -> Column:

@@ -96,9 +96,8 @@ def op9_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    back = bpe.decode("ids", path, public_tokenizers.PATTERN)
-    return ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(back, 256).alias("decoded_sha256"))
+    ids = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, decoded=True)
+    return ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (op1_media, op2_chat, op3_toxicity, op4_jaccard, op5_pii, op6_urls, op7_topk, op8_packing, op9_counts, op10_bpe)}

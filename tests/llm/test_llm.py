@@ -304,7 +304,8 @@ def test_bpe(docs, none, texts):
     path = P.path("byte_bpe_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     plain = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    got = bpe.encode(docs, path, P.PATTERN)
+    got = bpe.encode(docs, path, P.PATTERN, decoded=True)
+    assert got.filter(F.col("decoded") != bpe.decode("ids", path, P.PATTERN)).isEmpty()
     rows = got.select("doc_id", "ids", bpe.decode("ids", path, P.PATTERN).alias("back")).collect()
     assert len(rows) == len(texts) + 1
     for r in rows:
