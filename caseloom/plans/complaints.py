@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.operators import triage
-from caseloom.sources.views import table
+from caseloom.sources.views import spread, table
 
 SENTENCES = [
     "Police ne nahi ki FIR meri complaint par", "Officer at the station refused to register my complaint", "My crop insurance claim was rejected by the company",
@@ -19,7 +19,7 @@ FIELDS = ["authority", "name", "district", "date", "facts"]
 
 def complaints(spark, sf_dir) -> DataFrame:
     """Each order as one of the sentences, with its amount and customer."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
     sentence = F.element_at(F.array(*[F.lit(s) for s in SENTENCES]), (F.col("o_orderkey") % len(SENTENCES) + 1).cast("int"))
     return o.select(F.col("o_orderkey").alias("complaint_id"), sentence.alias("text"), F.when(F.col("o_custkey") % 5 > 0, F.concat(F.lit("Customer "), F.col("o_custkey").cast("string"))).alias("name"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("day"))
 

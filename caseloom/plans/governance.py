@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions.text import stable_id
-from caseloom.sources.views import table
+from caseloom.sources.views import spread, table
 
 # -- uploads and versions --------------------------------------------------------------------------------------------
 
@@ -51,7 +51,7 @@ def blk6_quality(spark, sf_dir):
     """Text quality of each document: the parts of the score, and whether it needs OCR."""
     t = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\t\f\x0B ]+", " "), r"\n{3,}", "\n\n"))
     n = lambda pattern: F.regexp_count(F.col("t"), F.lit(pattern)).cast("double")
-    d = table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).withColumns({"characters": n(r"[^\s]"), "words": n(r"[\p{L}\p{N}_]+"), "alnum": n(r"[\p{L}\p{N}]"), "lines": F.greatest(n(r"[^\n]*[^\s][^\n]*"), F.lit(1.0)), "runs": n(r"[^\p{L}\p{N}_\s]{5,}"), "bad": n(r"[\x00-\x08\x0E-\x1F\x7F\x{FFFD}]")})
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", t.alias("t")).withColumns({"characters": n(r"[^\s]"), "words": n(r"[\p{L}\p{N}_]+"), "alnum": n(r"[\p{L}\p{N}]"), "lines": F.greatest(n(r"[^\n]*[^\s][^\n]*"), F.lit(1.0)), "runs": n(r"[^\p{L}\p{N}_\s]{5,}"), "bad": n(r"[\x00-\x08\x0E-\x1F\x7F\x{FFFD}]")})
     c = F.col("characters")
     score = 0.30 * F.least(c / 80, F.lit(1.0)) + 0.25 * (1 - F.col("bad") / c) + 0.20 * F.least(F.col("alnum") / c / 0.45, F.lit(1.0)) + 0.15 * F.least(F.col("words") / 12, F.lit(1.0)) + 0.10 * F.least(F.col("lines") / 5, F.lit(1.0)) - F.least(F.lit(0.55), F.col("bad") / c * 2.5 + F.col("runs") * 0.08)
     safe = F.when(c > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))).otherwise(0.0)
@@ -61,7 +61,7 @@ def blk6_quality(spark, sf_dir):
 
 def blk8_headings(spark, sf_dir):
     """Lines of at most 14 words of whose letters 65 % or more are capitals."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "text"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "text"))
     letters, capitals = (F.regexp_count("text", F.lit(p)) for p in (r"\p{L}", r"\p{Lu}"))
     return d.filter((F.regexp_count("text", F.lit(r"[^\s]+")) <= 14) & (letters > 0) & (capitals / letters >= 0.65)).select("doc_id", F.col("line").cast("long").alias("line"), "text")
 

@@ -12,6 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files are fewer than they, since a small file is one task; else df, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df marked for a broadcast if a count finds it within the given rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def record_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three text blocks for each order, as a case record of its customer."""
     orders, customers, nations, regions = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
@@ -58,7 +69,7 @@ blocks AS (SELECT *, 'blk_' || substr(sha256(version_id || ':1:' || CAST(sequenc
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's lines as blocks of the case that its source stands for."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     lines = docs.select(F.col("source").alias("case_id"), F.col("doc_id").alias("document_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("sequence", "text"))
     return lines.withColumn("sequence", F.col("sequence").cast("long"))
 
