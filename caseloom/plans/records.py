@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.text import name_uuid, stable_id
 from caseloom.operators import evidence as ev
-from caseloom.sources.views import RECORD_BLOCKS, record_blocks
+from caseloom.sources.views import RECORD_BLOCKS, record_blocks, stored
 
 
 def _atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.atoms(ev.occurrences(record_blocks(spark, sf_dir)))
 
 
+def stored_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The atoms for plans that read them more than once: the rules over the text run one time."""
+    return stored(_atoms(spark, sf_dir), "atoms")
+
+
 def ev1_occurrences(spark, sf_dir):
     return ev.occurrences(record_blocks(spark, sf_dir)).select("case_id", "version_id", "block_id", "kind", "label", "start", "end", "quote", "normalized", "weight")
 
@@ -36,7 +41,7 @@ def rel8_counts(spark, sf_dir):
 
 
 def rel6_chronology(spark, sf_dir):
-    out = ev.chronology(_atoms(spark, sf_dir), record_blocks(spark, sf_dir))
+    out = ev.chronology(stored_atoms(spark, sf_dir), record_blocks(spark, sf_dir))
     return out.withColumn("evidence_ids", F.array_join("evidence_ids", ","))
 
 
@@ -88,14 +93,18 @@ def caveats(atoms: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def rpt6_caveats(spark, sf_dir):
-    return caveats(_atoms(spark, sf_dir), record_blocks(spark, sf_dir))
+    return caveats(stored_atoms(spark, sf_dir), record_blocks(spark, sf_dir))
 
 
-def rv1_review_items(spark, sf_dir):
-    c = caveats(_atoms(spark, sf_dir), record_blocks(spark, sf_dir)).filter("severity in ('warning', 'blocking')")
+def review_items(c: DataFrame) -> DataFrame:
+    c = c.filter("severity in ('warning', 'blocking')")
     return c.select("case_id", name_uuid(F.concat_ws(":", "case_id", F.lit("caveat"), "caveat_id")).alias("review_id"), "severity", "title", "detail")
 
 
+def rv1_review_items(spark, sf_dir):
+    return review_items(caveats(stored_atoms(spark, sf_dir), record_blocks(spark, sf_dir)))
+
+
 def span_issues(atoms: DataFrame, blocks: DataFrame) -> DataFrame:
     """The first failing check of every span: its version, block, bounds and quote against the source."""
     spans = atoms.select("case_id", "evidence_id", F.explode("spans").alias("s")).select("case_id", "evidence_id", "s.*")
@@ -123,7 +132,7 @@ def int2_span_issues(spark, sf_dir):
 
 
 def int9_result(spark, sf_dir):
-    a = _damaged(_atoms(spark, sf_dir))
+    a = _damaged(stored_atoms(spark, sf_dir))
     issues = span_issues(a, record_blocks(spark, sf_dir)).groupBy("case_id").agg(F.count("*").alias("blocking"))
     seen = a.groupBy("case_id").agg(F.count("*").alias("checked_evidence"), F.sum(F.size("spans")).cast("long").alias("checked_spans"))
     out = seen.join(issues, "case_id", "left").withColumn("blocking", F.coalesce("blocking", F.lit(0)).cast("long"))
@@ -174,6 +183,8 @@ checked AS (
   FROM hurt h LEFT JOIN (SELECT DISTINCT case_id, version_id FROM blocks) v USING (case_id, version_id) LEFT JOIN blocks b ON b.case_id = h.case_id AND b.version_id = h.version_id AND b.block_id = h.block_id)
 """
 
+REVIEW_SQL = """SELECT case_id, substr(h,1,8) || '-' || substr(h,9,4) || '-5' || substr(h,14,3) || '-' || translate(substr(h,17,1),'0123456789abcdef','89ab89ab89ab89ab') || substr(h,18,3) || '-' || substr(h,21,12) AS review_id, severity, title, detail
+FROM (SELECT *, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(case_id || ':caveat:' || caveat_id)) AS h FROM caveats)"""
 QUERIES = {f.__name__: f for f in (ev1_occurrences, ev5_atoms, ev9_counts, rel1_edges, rel8_counts, rel6_chronology, rpt1_claims, rpt5_sections, rpt6_caveats, rv1_review_items, int2_span_issues, int9_result)}
 SQL = {
     "ev1_occurrences": _HEAD + 'SELECT case_id, version_id, block_id, kind, label, start, "end", quote, normalized, weight FROM found',
@@ -200,7 +211,5 @@ SELECT case_id, 'evt_' || substr(sha256(case_id || ':' || date_id || ':' || desc
     "int9_result": _ISSUES + """
 SELECT case_id, count(DISTINCT evidence_id) AS checked_evidence, count(*) AS checked_spans, count(code) AS blocking,
   CASE WHEN count(code) = 0 THEN 'true' ELSE 'false' END AS valid, greatest(0, 100 - 25 * count(code)) AS score FROM checked GROUP BY case_id""",
-    "rv1_review_items": _CAVEATS + """
-, u AS (SELECT *, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(case_id || ':caveat:' || caveat_id)) AS h FROM caveats)
-SELECT case_id, substr(h,1,8) || '-' || substr(h,9,4) || '-5' || substr(h,14,3) || '-' || translate(substr(h,17,1),'0123456789abcdef','89ab89ab89ab89ab') || substr(h,18,3) || '-' || substr(h,21,12) AS review_id, severity, title, detail FROM u""",
+    "rv1_review_items": _CAVEATS + ", x AS (" + REVIEW_SQL + ") SELECT * FROM x",
 }
