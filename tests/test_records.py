@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from caseloom.functions.text import folded, name_uuid, spans
 from caseloom.operators import blocks, evidence, search, triage
-from caseloom.plans import complaints, governance, records, reports
+from caseloom.plans import complaints, filing, governance, records, reports
 from caseloom.plans import search as search_plans
 from caseloom.sources import files
 from caseloom.streaming import events
@@ -27,7 +27,7 @@ def plain(v):
     return str(v)
 
 
-SQL = records.SQL | search_plans.SQL | governance.SQL | complaints.SQL | reports.SQL
+SQL = records.SQL | search_plans.SQL | governance.SQL | complaints.SQL | reports.SQL | filing.SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
