@@ -87,15 +87,20 @@ def rs1_allowed_urls(spark, sf_dir):
 # -- requests, audit and jobs ----------------------------------------------------------------------------------------
 
 
+def redacted(text):
+    """Tokens, tax ids, national ids, phones and e-mails taken out, in this order."""
+    out = F.regexp_replace(text, r"(?i)bearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]")
+    for pattern, name in ((r"\b[A-Z]{5}[0-9]{4}[A-Z]\b", "PAN"), (r"\b\d{4}[ -]?\d{4}[ -]?\d{4}\b", "ID"), (r"(?<!\d)(?:\+91[ -]?)?[6-9]\d{9}(?!\d)", "PHONE"), (r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", "EMAIL")):
+        out = F.regexp_replace(out, pattern, f"[REDACTED-{name}]")
+    return out
+
+
 def gv1_redacted(spark, sf_dir):
     """Audit lines with tokens, tax ids, national ids, phones and e-mails taken out, in this order."""
     e = table(spark, sf_dir, "events")
     digits = F.lpad((F.col("event_id") % 1000000000).cast("string"), 9, "0")
     line = F.concat(F.lit("Bearer abc."), F.col("event_id").cast("string"), F.lit(" pan ABCDE1234F id 1234 5678 9012 tel +91 9"), digits, F.lit(" mail user"), F.col("user_id").cast("string"), F.lit("@Example.com did "), "event_type")
-    out = F.regexp_replace(line, r"(?i)bearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]")
-    for pattern, name in ((r"\b[A-Z]{5}[0-9]{4}[A-Z]\b", "PAN"), (r"\b\d{4}[ -]?\d{4}[ -]?\d{4}\b", "ID"), (r"(?<!\d)(?:\+91[ -]?)?[6-9]\d{9}(?!\d)", "PHONE"), (r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", "EMAIL")):
-        out = F.regexp_replace(out, pattern, f"[REDACTED-{name}]")
-    return e.select("event_id", out.alias("line"))
+    return e.select("event_id", redacted(line).alias("line"))
 
 
 def rate_windows(events: DataFrame, limit: int, seconds: int) -> DataFrame:

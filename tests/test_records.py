@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from caseloom.functions.text import folded, name_uuid, spans
-from caseloom.operators import blocks, evidence, search, triage
-from caseloom.plans import complaints, filing, governance, records, reports
+from caseloom.operators import answers, blocks, evidence, search, triage
+from caseloom.operators import filing as filing_ops
+from caseloom.plans import complaints, filing, governance, records, registry, reports
 from caseloom.plans import search as search_plans
 from caseloom.sources import files
 from caseloom.streaming import events
@@ -27,7 +28,7 @@ def plain(v):
     return str(v)
 
 
-SQL = records.SQL | search_plans.SQL | governance.SQL | complaints.SQL | reports.SQL | filing.SQL
+SQL = records.SQL | search_plans.SQL | governance.SQL | complaints.SQL | reports.SQL | filing.SQL | registry.SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -107,6 +108,38 @@ def test_triage(spark):
     assert all(got[t].case_type == w for t, w in rows) and got["hello"].confidence == 0.0
 
 
+def test_report_checks(spark):
+    e = spark.createDataFrame([("c", "e1"), ("c", "e2"), ("d", "e3")], "case_id string, evidence_id string")
+    found = spark.createDataFrame([("c", "r1", "https://indiankanoon.org/doc/5/"), ("c", "r2", "https://indiankanoon.org/search/?q=5")], "case_id string, research_id string, source_url string")
+    claims = spark.createDataFrame([("c", "k1", "fact", ["e1"], []), ("c", "k2", "fact", [], ["r1"]), ("c", "k3", "law", [], ["r1"]), ("c", "k4", "fact", ["e3"], []), ("c", "k5", "law", [], []), ("d", "k6", "fact", ["e3"], [])], "case_id string, claim_id string, kind string, evidence_ids array<string>, research_ids array<string>")
+    citations = spark.createDataFrame([("c", "t1", "e1", None, None), ("c", "t2", None, "r1", "https://indiankanoon.org/doc/5/"), ("d", "t3", "e3", None, None)], "case_id string, citation_id string, evidence_id string, research_id string, source_url string")
+    issues = reports.report_issues(e, claims, citations, found)
+    assert {(r.code, r.entity_id) for r in issues.collect()} == {("research_source", "r2"), ("research_citation", "r2"), ("unsupported_claim", "k2"), ("unsupported_claim", "k5"), ("claim_evidence", "k4"), ("claim_citation", "k4")}
+    caveats = spark.createDataFrame([], "case_id string, severity string")
+    assert {(r.case_id, r.claims, r.citations, r.status) for r in reports.mediated(claims, citations, issues, caveats).collect()} == {("c", 2, 2, "needs_review"), ("d", 1, 1, "completed")}
+    urls = {"https://indiankanoon.org/doc/1/": True, "https://www.indiankanoon.org/doc/12": True, "http://indiankanoon.org/doc/1/": False, "https://u@indiankanoon.org/doc/1/": False, "https://indiankanoon.org.evil.org/doc/1/": False, "https://indiankanoon.org/doc/x/": False}
+    assert {r.u: r.ok for r in spark.createDataFrame([(u,) for u in urls], "u string").select("u", reports.allowed(F.col("u")).alias("ok")).collect()} == urls
+
+
+def test_answers(spark):
+    rows = [("The fact is known", 2, "The fact is known [1][2]", None), ("It is so.", 1, "It is so. [1]", "factual lines without citations"), ("Summary:\n- Paid [3]", 2, "Summary:\n- Paid [3]", "no valid source citations"), ("Inference: maybe", 1, "Inference: maybe", "no valid source citations"), ("One. Two [1].", 1, "One. Two [1].", "factual lines without citations"), ("", 0, "", "no valid source citations")]
+    got = answers.checked(spark.createDataFrame([r[:2] for r in rows], "answer string, sources int")).collect()
+    assert [(r.answer, r.sources, r.repaired, r.rejected) for r in got] == rows
+    q = spark.createDataFrame([(1, "c", 'What says @"My Order.PDF" and @fir on it?'), (2, "c", "@zzz"), (3, "c", "plain")], "query_id long, case_id string, query string")
+    d = spark.createDataFrame([("c", 7, "FIR copy.txt"), ("c", 8, "my order.pdf"), ("e", 9, "zzz.txt")], "case_id string, upload_id long, original_name string")
+    assert {r.query_id: (r.question, r.targets, r.unmatched) for r in answers.scopes(q, d).collect()} == {1: ("What says and on it?", "8,7", ""), 2: ("@zzz", "", "zzz"), 3: ("plain", "", "")}
+
+
+def test_filing(spark):
+    df = spark.createDataFrame([("Thana Rampur police station refused on 12/03/2024 officer ram", "fir_refusal"), ("3 march 2024 aaj", "rti_request"), (None, "unknown")], "text string, case_type string")
+    e = [r.e for r in df.select(filing_ops.entities(F.col("text"), F.col("case_type")).alias("e")).collect()]
+    assert e[0]["station_name"] == "Thana Rampur Police" and e[0]["officer_name"] == "Ram" and e[0]["incident_date"] == "12/03/2024" and e[1] == {"date": "3 march 2024"} and e[2] == {"date": ""}
+    r = filing_ops.filings(filing_ops.with_context(spark.createDataFrame([("[NAME — Please Fill] Under 154", "fir_refusal"), ("CrPC 154", "fir_refusal")], "document string, case_type string"))).collect()
+    by = {x.document: x for x in r}
+    assert by["CrPC 154"].status == "hardened" and by["CrPC 154"].confidence == 0.9
+    assert by["[NAME — Please Fill] Under 154"].gap_fields[-1] == "NAME" and by["[NAME — Please Fill] Under 154"].confidence == 0.7
+
+
 def test_streams(spark, tmp_path):
     src = f"{tmp_path}/in"
     rows = [(1, i, s, i * 10) for i, s in enumerate(["queued", "running", "running", "done"])] + [(1, 1, "running", 10), (2, 0, "queued", 0), (3, 0, "queued", 1000)]
