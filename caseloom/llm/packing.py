@@ -15,6 +15,7 @@ windows as they need. A source with a third of all rows is spread over all shard
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,6 +26,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from caseloom.llm.common import saved
 
@@ -33,18 +35,34 @@ WINDOW, END, LEAST = 2048, 1, 128
 
 class FileEncoder:
     """Ids as the tokenizers library gives them for a byte-level BPE file, made by tiktoken, which is several times
-    faster: both apply the file's merges in order. Strings of special tokens in a text are ordinary text."""
+    faster: both apply the file's merges in order. A text is cut at the file's added tokens first, as that library does;
+    texts that hold one go to the library itself if any of the tokens strips, needs a word's bounds or is normalised."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["id"] for t in spec.get("added_tokens", [])}
+        added = spec.get("added_tokens") or []
+        special = {t["id"] for t in added}
         plain = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace() and b != 0xAD]
         letter = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(plain))}
         ranks = {bytes(letter[c] for c in t): i for t, i in spec["model"]["vocab"].items() if i not in special}
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        self.encode = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.size = max(spec["model"]["vocab"].values()) + 1
+        self.plain = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.size = max(*spec["model"]["vocab"].values(), *special, 0) + 1
+        self.added = {t["content"]: t["id"] for t in added}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
+        flagged = any(t.get(f) for t in added for f in ("single_word", "lstrip", "rstrip", "normalized"))
+        self.library = Tokenizer.from_file(path) if flagged else None
+
+    def encode(self, text: str) -> list[int]:
+        if self.cut is None or self.cut.search(text) is None:
+            return self.plain(text)
+        if self.library is not None:
+            return self.library.encode(text, add_special_tokens=False).ids
+        ids: list[int] = []
+        for i, piece in enumerate(self.cut.split(text)):
+            ids += [self.added[piece]] if i % 2 else self.plain(piece)
+        return ids
 
 
 _encoders: dict[str, FileEncoder] = {}

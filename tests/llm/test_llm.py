@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -272,6 +273,27 @@ def test_packing(spark, docs, none, texts):
     assert packing.pack(none, path).count() == 0
 
 
+def test_packing_added_tokens(spark, tmp_path):
+    path = P.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    mark = spec["added_tokens"][0]
+    rnd = random.Random(14)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", " a <|endoftext|> b<|endoftext|><|endoftext|>  c", "<|endoftext|", "<|<|endoftext|>|>", "it<|endoftext|>'s 1<|endoftext|>2\n <|endoftext|>\n"]
+    texts += ["".join(rnd.choice(["<|endoftext|>", "<|endof", "<|pad|>", "<|pad|>x", " ", "  ", "\n", "a", "'s", "12", "é漢", ".", "|>"]) for _ in range(rnd.randint(0, 30))) for _ in range(500)]
+    new = lambda content, at, **flags: {**mark, "content": content, "id": at, **flags}
+    for more in ([], [new("<|pad|>", 50257), new("<|pad|>x", 50258)], [new("<|pad|>", 50257, lstrip=True, rstrip=True)]):
+        own = f"{tmp_path}/{len(more)}.json"
+        with open(own, "w", encoding="utf-8") as f:
+            json.dump(spec | {"added_tokens": [mark, *more]}, f)
+        tokenizer, encoder = Tokenizer.from_file(own), packing.FileEncoder(own)
+        assert [encoder.encode(t) for t in texts] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    tokenizer = Tokenizer.from_file(path)
+    for r in packing.pack(spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts[:6])], "doc_id long, text string, source string"), path).collect():
+        x = np.array([*tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids, 1], dtype="<u4")
+        assert r.doc_tokens == len(x) and r.ids_crc32 == zlib.crc32(x[r.start:r.start + r.length].tobytes())
+
+
 def test_packing_keeps_shares():
     rnd = random.Random(8)
     owner = [rnd.choice([0, 0, 0, 0, 1, 2]) for _ in range(3000)]
