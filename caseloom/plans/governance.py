@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions.text import stable_id
-from caseloom.sources.views import spread, table
+from caseloom.sources.views import small, spread, stored, table
 
 # -- uploads and versions --------------------------------------------------------------------------------------------
 
@@ -245,6 +245,42 @@ def qa1_fragments(spark, sf_dir):
     return b.join(found, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_documents"), F.col("n").isNotNull().cast("string").alias("recalled"))
 
 
+def passages(benchmark: DataFrame, documents: DataFrame, run: int = 8) -> DataFrame:
+    """Each whole passage, and all its runs of that many words (fewer if it is shorter), in all documents, regardless of
+    case, marks and white space: documents that hold it whole, those that hold only some run, runs and runs found.
+
+    Hashed runs that both sides have lead to pairs of a passage and a document, whose texts are then compared. Passages
+    without words are found nowhere. benchmark: item_id, text; documents: doc_id (null or repeated ones count as rows), text.
+    """
+    words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    held = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+
+    def runs(w, n, made):
+        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: made(F.slice(w, i, n)))).otherwise(F.array())
+
+    b = benchmark.select("item_id", words(F.col("text")).alias("w")).withColumn("n", F.least(F.size("w"), F.lit(run)))
+    b = stored(b.filter("n > 0").distinct().select("item_id", "n", held(F.col("w")).alias("passage"), F.array_distinct(runs(F.col("w"), F.col("n"), held)).alias("runs")), "passages")
+    keys = b.select("item_id", "n", F.explode("runs").alias("r")).select("item_id", F.xxhash64("n", "r").alias("key")).distinct()
+    d = spread(documents.select("doc_id", "text"))
+    sizes = [r["n"] for r in b.select("n").distinct().collect()]
+    w = d.select("doc_id", words(F.col("text")).alias("w"))
+    every = F.concat(F.array().cast("array<bigint>"), *[runs(F.col("w"), F.lit(n), lambda x, n=n: F.xxhash64(F.lit(n), held(x))).cast("array<bigint>") for n in sizes])
+    met = w.select("doc_id", F.explode(every).alias("key")).join(small(keys), "key").select("item_id", "doc_id").distinct().withColumnRenamed("doc_id", "_doc")
+    texts = met.join(d, F.col("_doc").eqNullSafe(F.col("doc_id"))).select("item_id", held(words(F.col("text"))).alias("low"))
+    seen = texts.join(small(b), "item_id").withColumn("whole", F.contains("low", "passage"))
+    seen = stored(seen.select("item_id", "whole", F.when(F.col("whole"), F.col("runs")).otherwise(F.filter("runs", lambda r: F.contains(F.col("low"), r))).alias("got")).filter("size(got) > 0"), "passages-met")
+    counted = seen.groupBy("item_id").agg(F.count_if("whole").alias("n_documents"), F.count_if(~F.col("whole")).alias("n_partial"))
+    found = seen.select("item_id", F.explode("got").alias("r")).distinct().groupBy("item_id").agg(F.count("*").alias("n_runs_found"))
+    total = b.select("item_id", F.explode("runs").alias("r")).distinct().groupBy("item_id").agg(F.count("*").alias("n_runs"))
+    out = benchmark.select("item_id").distinct().join(total, "item_id", "left").join(counted, "item_id", "left").join(found, "item_id", "left")
+    return out.select("item_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_documents", "n_partial", "n_runs", "n_runs_found")], (F.coalesce("n_documents", F.lit(0)) > 0).cast("string").alias("recalled"))
+
+
+def qa1_passages(spark, sf_dir):
+    """qa1 over whole passages and the documents of all sources; qa1_fragments keeps to what its SQL says."""
+    return passages(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
 def qa2_metrics(spark, sf_dir):
     """Success, quality and label rates of labelled documents by language, with the gates they miss."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
@@ -260,7 +296,7 @@ def qa5_latency(spark, sf_dir):
     return r.groupBy("event_type").agg(F.min("value").alias("least"), F.round(F.avg("value"), 6).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("value").alias("most"))
 
 
-QUERIES = {f.__name__: f for f in (src9_versions, src12_latest, src11_incremental, blk6_quality, blk8_headings, blk15_fingerprints, blk16_titles, rs1_allowed_urls, gv1_redacted, gv3_rate_windows, gv4_quota, gv5_audit, jb1_keys, jb3_sequences, jb4_state, jb5_after, jb6_retries, jb7_leases, an1_case_list, an2_recent, an3_buckets, an4_week, an8_followups, rv3_workspace, qa1_fragments, qa2_metrics, qa5_latency)}
+QUERIES = {f.__name__: f for f in (src9_versions, src12_latest, src11_incremental, blk6_quality, blk8_headings, blk15_fingerprints, blk16_titles, rs1_allowed_urls, gv1_redacted, gv3_rate_windows, gv4_quota, gv5_audit, jb1_keys, jb3_sequences, jb4_state, jb5_after, jb6_retries, jb7_leases, an1_case_list, an2_recent, an3_buckets, an4_week, an8_followups, rv3_workspace, qa1_fragments, qa1_passages, qa2_metrics, qa5_latency)}
 
 _UP = """WITH up AS (SELECT source AS case_id, doc_id AS upload_id, lang || ' File#' || CAST(doc_id % 7 AS VARCHAR) || '.TXT' AS original_name, sha256(coalesce(text, '')) AS sha256, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size FROM documents),
 m AS (SELECT *, row_number() OVER w AS n, first_value(upload_id) OVER w AS first_upload FROM up WINDOW w AS (PARTITION BY case_id, sha256 ORDER BY upload_id)),

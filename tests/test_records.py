@@ -167,3 +167,18 @@ def test_streams(spark, tmp_path):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_whole_passages_in_all_sources(spark, tmp_path):
+    words = [f"w{i}" for i in range(40)]
+    whole = "Start " + " ".join(words[:20]) + ", End."
+    docs = [(1, "hot", "x (" + whole.upper() + ") y"), (2, "src7", "before " + " ".join(words[6:20]) + " after"), (3, None, whole.replace(" ", "\n", 3)), (3, "src1", "start w0 w1"), (None, "a", whole), (5, "a", None), (6, "b", "x " + " ".join(words[25:36])), (7, "b", "say short one!"), (8, "b", "shorter one")]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    asked = [(0, whole), (1, " ".join(words[25:40])), (2, "Short one"), (3, "nowhere to be found in any of the given texts"), (4, None)]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.item_id: tuple(r)[1:] for r in entry.queries()["qa1_passages"](spark, str(tmp_path)).collect()}
+    assert got == {0: (3, 1, 15, 15, "true"), 1: (0, 1, 8, 4, "false"), 2: (1, 0, 1, 1, "true"), 3: (0, 0, 3, 0, "false"), 4: (0, 0, 0, 0, "false")}
+    con, plain_words = duckdb.connect(), lambda t: " " + " ".join(re.findall(r"\w+", (t or "").lower())) + " "
+    texts = [plain_words(t) for t, in con.execute(f"SELECT text FROM '{SF}/documents.parquet'").fetchall()]
+    want = {i: sum(plain_words(t) in x for x in texts) for i, t in con.execute(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall()}
+    assert {r.item_id: r.n_documents for r in entry.queries()["qa1_passages"](spark, SF).collect()} == want and any(want.values())
