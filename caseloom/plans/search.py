@@ -17,6 +17,18 @@ def _questions(spark, sf_dir):
     return b.select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("case_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("query"))
 
 
+def _all_questions(spark, sf_dir):
+    """Each whole benchmark text, asked in every source that the documents have, and one that no block answers in each."""
+    cases = table(spark, sf_dir, "documents").select(F.col("source").alias("case_id")).filter("case_id is not null").distinct()
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("n"), F.col("text").alias("query")).union(spark.createDataFrame([("none", "qqzzx wwxxq")], "n string, query string"))
+    return b.crossJoin(cases).select(F.concat_ws("@", "n", "case_id").alias("query_id"), "case_id", "query")
+
+
+def sr3_bm25_all(spark, sf_dir):
+    """sr3 with whole texts in all sources; sr3_bm25 keeps to what its SQL says, as do the others without _all."""
+    return search.bm25(document_lines(spark, sf_dir), _all_questions(spark, sf_dir))
+
+
 def sr3_bm25(spark, sf_dir):
     return search.bm25(document_lines(spark, sf_dir), _questions(spark, sf_dir))
 
@@ -58,9 +70,33 @@ def _hits(spark, sf_dir):
     return q, document_lines(spark, sf_dir).join(small(best), ["case_id", "document_id", "sequence"])
 
 
+def _all_hits(spark, sf_dir):
+    """(questions of all sources, their best six blocks with text)"""
+    q = _all_questions(spark, sf_dir)
+    best = stored(search.bm25(document_lines(spark, sf_dir), q, k=6), "hits")
+    return q, document_lines(spark, sf_dir).join(small(best), ["case_id", "document_id", "sequence"])
+
+
+def sr6_citations_all(spark, sf_dir):
+    return _cited(_all_hits(spark, sf_dir)[1])
+
+
+def sr9_fallback_all(spark, sf_dir):
+    q, hits = _all_hits(spark, sf_dir)
+    return answers.broad(q, hits, document_lines(spark, sf_dir))
+
+
+def sr11_summaries_all(spark, sf_dir):
+    return answers.summaries(_all_hits(spark, sf_dir)[1])
+
+
 def sr6_citations(spark, sf_dir):
+    return _cited(_hits(spark, sf_dir)[1])
+
+
+def _cited(hits):
     """Each hit as a citation: the cited stretch, at most 4000 characters from the block's start, its label and score."""
-    return _hits(spark, sf_dir)[1].select("query_id", "rank", F.lit(0).alias("start"), F.least(F.length("text"), F.lit(4000)).alias("end"), F.md5(F.substring("text", 1, 4000)).alias("quote_md5"), F.concat(F.lit("document "), F.col("document_id").cast("string"), F.lit(", page 1")).alias("label"), "score")
+    return hits.select("query_id", "rank", F.lit(0).alias("start"), F.least(F.length("text"), F.lit(4000)).alias("end"), F.md5(F.substring("text", 1, 4000)).alias("quote_md5"), F.concat(F.lit("document "), F.col("document_id").cast("string"), F.lit(", page 1")).alias("label"), "score")
 
 
 def sr7_scopes(spark, sf_dir):
@@ -71,6 +107,15 @@ def sr7_scopes(spark, sf_dir):
     return answers.scopes(b, named)
 
 
+def sr7_scopes_all(spark, sf_dir):
+    """sr7 with whole texts in all sources."""
+    q = _all_questions(spark, sf_dir).filter("query_id not like 'none@%'")
+    n = F.substring_index("query_id", "@", 1).cast("long")
+    b = q.select("query_id", "case_id", F.concat(F.lit('Compare @"EN file#'), (n % 9).cast("string"), F.lit('.txt" with @fr_File and @nothing'), (n % 2).cast("string"), F.lit(" on "), F.coalesce("query", F.lit(""))).alias("query"))
+    named = uploads(spark, sf_dir).groupBy("case_id", "original_name").agg(F.max("upload_id").alias("upload_id"))
+    return answers.scopes(b, named)
+
+
 def sr9_fallback(spark, sf_dir):
     q, hits = _hits(spark, sf_dir)
     return answers.broad(q, hits, document_lines(spark, sf_dir))
@@ -87,7 +132,7 @@ def sr13_checked(spark, sf_dir):
     return answers.checked(c).select("conv_id", "turn", "repaired", "cited", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (sr3_bm25, sr2_index, sr6_citations, sr7_scopes, sr8_excerpts, sr9_fallback, sr11_summaries, sr13_checked, sr14_last_question, sr15_history, sr16_message_cap, sr17_cosine)}
+QUERIES = {f.__name__: f for f in (sr3_bm25_all, sr6_citations_all, sr7_scopes_all, sr9_fallback_all, sr11_summaries_all, sr3_bm25, sr2_index, sr6_citations, sr7_scopes, sr8_excerpts, sr9_fallback, sr11_summaries, sr13_checked, sr14_last_question, sr15_history, sr16_message_cap, sr17_cosine)}
 _TERMS = r"regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}_]{2,}')"
 _INDEX = "WITH " + DOCUMENT_LINES + f""",
 t AS (SELECT *, {_TERMS} AS t FROM lines),

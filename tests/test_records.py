@@ -182,3 +182,18 @@ def test_whole_passages_in_all_sources(spark, tmp_path):
     texts = [plain_words(t) for t, in con.execute(f"SELECT text FROM '{SF}/documents.parquet'").fetchall()]
     want = {i: sum(plain_words(t) in x for x in texts) for i, t in con.execute(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall()}
     assert {r.item_id: r.n_documents for r in entry.queries()["qa1_passages"](spark, SF).collect()} == want and any(want.values())
+
+
+def test_whole_questions_in_all_sources(spark, tmp_path):
+    docs = [(1, "en", "hot", "one two three four tailword five six seven eight"), (2, "en", "src9", "nothing here but other words in a line of ten"), (3, "fr", "src9", "it ends in tailword and has some more words here"), (4, "en", "empty", "alpha beta gamma delta epsilon zeta eta theta")]
+    spark.createDataFrame(docs, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "quite some unknown tailword"), (7, "one two three")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
+    want = {("0@hot", 1), ("0@src9", 3), ("7@hot", 1)}
+    assert {(r.query_id, r.document_id) for r in run("sr3_bm25_all")} == want
+    assert {(r.query_id, r.label) for r in run("sr6_citations_all")} == {(q, f"document {d}, page 1") for q, d in want}
+    assert {r.query_id for r in run("sr11_summaries_all")} == {q for q, _ in want}
+    missed = {f"{n}@{c}" for n in ("0", "7", "none") for c in ("hot", "src9", "empty")} - {q for q, _ in want}
+    assert {r.query_id for r in run("sr9_fallback_all")} == missed
+    scopes = run("sr7_scopes_all")
+    assert len(scopes) == 6 and all(r.question.endswith("tailword" if r.query_id[0] == "0" else "three") for r in scopes)
