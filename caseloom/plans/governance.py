@@ -122,22 +122,27 @@ def gv5_audit(spark, sf_dir):
 
 
 def gv4_quota(spark, sf_dir):
-    """Greedy monthly quota in arrival order: an upload that doesn't fit is rejected and uses nothing."""
-    import numpy as np
-    import pandas as pd
+    """Greedy monthly quota in arrival order: an upload that doesn't fit is rejected and uses nothing. A task keeps one
+    batch and the running total of the user and month at hand; sizes that are null are rejected."""
+    import pyarrow as pa
 
-    l = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("user_id"), F.date_format("l_shipdate", "yyyy-MM").alias("month"), "l_orderkey", "l_linenumber", F.round("l_extendedprice").cast("long").alias("bytes"))
+    keys = ["user_id", "month", "l_orderkey", "l_linenumber", "bytes"]
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("long").alias("user_id"), F.date_format("l_shipdate", "yyyy-MM").alias("month"), F.col("l_orderkey").cast("long").alias("l_orderkey"), F.col("l_linenumber").cast("long").alias("l_linenumber"), F.round("l_extendedprice").cast("long").alias("bytes"))
     limit = 150_000
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["l_orderkey", "l_linenumber", "bytes"])
-        used, ok = 0, np.zeros(len(pdf), dtype=bool)
-        for i, b in enumerate(pdf["bytes"].tolist()):
-            if used + b <= limit:
-                used, ok[i] = used + b, True
-        return pdf.assign(accepted=ok)
-
-    return l.groupBy("user_id", "month").applyInPandas(run, "user_id long, month string, l_orderkey long, l_linenumber long, bytes long, accepted boolean")
+    def run(batches):
+        now, used = None, 0
+        for b in batches:
+            ok = []
+            for user, month, size in zip(*(b.column(i).to_pylist() for i in (0, 1, 4))):
+                if (user, month) != now:
+                    now, used = (user, month), 0
+                ok.append(size is not None and used + size <= limit)
+                used += size if ok[-1] else 0
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ok, pa.bool_())], names=[*keys, "accepted"])
+
+    dealt = l.repartition("user_id", "month").sortWithinPartitions(*[F.asc_nulls_last(c) for c in keys])
+    return dealt.mapInArrow(run, "user_id long, month string, l_orderkey long, l_linenumber long, bytes long, accepted boolean")
 
 
 TERMINAL = ["purchase", "error"]

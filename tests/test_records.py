@@ -197,3 +197,19 @@ def test_whole_questions_in_all_sources(spark, tmp_path):
     assert {r.query_id for r in run("sr9_fallback_all")} == missed
     scopes = run("sr7_scopes_all")
     assert len(scopes) == 6 and all(r.question.endswith("tailword" if r.query_id[0] == "0" else "three") for r in scopes)
+
+
+def test_quota_across_batches(spark):
+    rows = duckdb.sql(f"SELECT l_suppkey, strftime(l_shipdate, '%Y-%m'), l_orderkey, l_linenumber, CAST(round(l_extendedprice) AS BIGINT) FROM '{SF}/lineitem.parquet'").fetchall()
+    used, want = {}, []
+    for u, m, o, n, size in sorted(rows):
+        ok = used.get((u, m), 0) + size <= 150_000
+        used[u, m] = used.get((u, m), 0) + size * ok
+        want.append((u, m, o, n, size, ok))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = entry.queries()["gv4_quota"](spark, SF)
+        assert sorted(map(tuple, df.collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "InPandas" not in df._jdf.queryExecution().toString()  # no frame of a whole group
