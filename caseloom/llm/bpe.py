@@ -49,14 +49,25 @@ class Ranks:
         return r
 
     def one(self, word: bytes) -> list[int]:
-        """A single word, lowest rank first, leftmost among equals."""
-        ids = [int(self.byte[b]) for b in word]
-        while len(ids) > 1:
-            best, at = min(((r, i) for i in range(len(ids) - 1) if (r := self.merged(ids[i], ids[i + 1])) >= 0), default=(-1, -1))
-            if best < 0:
-                break
-            ids[at:at + 2] = [best]
-        return ids
+        """A single word, lowest rank first, leftmost among equals, by a heap of pairs."""
+        ids: list[int] = [int(self.byte[b]) for b in word]
+        n = len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i in range(n - 1) if (r := self.merged(ids[i], ids[i + 1])) >= 0]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j >= n or self.merged(ids[i], ids[j]) != r:
+                continue
+            ids[i], ids[j] = r, -1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n and (k := self.merged(ids[a], ids[b])) >= 0:
+                    heapq.heappush(heap, (k, a))
+        return [x for x in ids if x >= 0]
 
 
 def replay(words: list[bytes], ranks: Ranks) -> list[bytes]:

@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT = "spark.checkpoint.dir"
 
@@ -33,6 +34,25 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot from this many rows on (or from a 100,000th of all rows), so that fewer than 100,000 keys ever are.
+HOT = 50_000
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """key, _parts: the hot keys of rows, fewer than 100,000, and over how many parts their rows are dealt."""
+    counts = saved(rows.groupBy(key).agg(F.count("*").alias("_n")), "hot-counts")
+    most = max(HOT, (counts.agg(F.sum("_n")).first()[0] or 0) // 100_000)
+    return counts.filter(F.col("_n") > most).select(key, (F.floor(F.col("_n") / most) + 1).cast("int").alias("_parts"))
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """many joined with one (unique by key), rows of hot keys dealt over their parts by the hash of the column spread."""
+    hot = F.broadcast(hot)
+    dealt = many.join(hot, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    copied = one.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copied, [key, "_part"], how).drop("_part")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit moves about half of the output bits."""
     x = x ^ (x >> np.uint64(30))

@@ -12,14 +12,22 @@ Index. Prefix elements travel in packed blocks, by ranges of hash values; elemen
 there. Elements that the sketch knows to be common skip this step and are spread by signature.
 
 Answers. In each list the most central set (the one with the largest share of elements that others have as well) is
-compared with the others first. Verified links form components; then a list is looked at again only where it holds
-sets of different components, so that a set takes over the answers of the central set it is similar to. Verification
-compares the whole sets exactly.
+compared with the others first. Sets then form stars around the sets with the most links. In a star, a set's answers
+are derived from its centre's: by the triangle inequality two sets within Jaccard distance 0.1 of the centre are linked,
+and for other pairs the overlap follows from their differences from the centre, |c| - |c - x| - |c - y| + |Dx n Dy|,
+where D is the symmetric difference with c. Only lists that hold several stars are read again: they travel in blocks by
+size and position, a pair of blocks is skipped where no position in it leaves room for the overlap needed, and pairs of
+different stars that are left are verified on the whole sets. Links between stars make components.
+
+Skew. Equal texts share one set and are counted by weight. Joins deal the rows of hot keys over parts; hot lists and
+stars are cut into blocks of bounded size, which meet block by block.
 
 Cases: a null or empty text, or one of white space, has an empty set and is linked with nothing; a text of one to four
-words is one shingle; repeated rows and equal texts share a set and a component; ties at exactly 80 % link; an empty
-table gives an empty table; other columns are ignored. Nothing is capped, sampled or dropped; only filters by hashed
-id (which let more pass, never less) and the sketch are sent to all tasks, and their sizes are fixed.
+words is one shingle; repeated rows and equal texts share a set and a component; an id that repeats with different
+texts has a row for each; a null id keeps its row, and never becomes a component's id (which is null only if all ids of
+the component are); ties at exactly 80 % link; an empty table gives an empty table; other columns are ignored. Nothing
+is capped, sampled or dropped; only filters by hashed id (which let more pass, never less), the sketch and hot keys
+(fewer than 100,000) are sent to all tasks, and their sizes are bounded.
 """
 
 from __future__ import annotations
@@ -28,11 +36,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import mix, saved
+from caseloom.llm.common import hot_keys, mix, salted_join, saved
 
 WORDS = 5
 #: Counters of the sketch (2**SKETCH, one byte each when sent), and bits of the filter by id (2**FILTER).
@@ -250,10 +259,6 @@ def _fits(a: str, b: str) -> Column:
     return (F.col(f"n_{a}") - F.col(f"pos_{a}") >= least) & (F.col(f"n_{b}") - F.col(f"pos_{b}") >= least)
 
 
-def _named(df: DataFrame, end: str) -> DataFrame:
-    return df.select("token", *[F.col(c).alias(f"{c}_{end}") for c in df.columns if c != "token"])
-
-
 def _filter_bits(ids: DataFrame) -> np.ndarray:
     """A filter of 2**FILTER bits (or fewer) by hashed id, of which the driver gets 2 MB at most."""
     width = 1 << (FILTER - 3)
@@ -286,36 +291,151 @@ def _slot(ids: np.ndarray) -> np.ndarray:
         return (mix(ids.astype(np.int64).view(np.uint64) + _ODD[11]) >> np.uint64(64 - FILTER)).view(np.int64)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of representatives whose whole sets are similar enough."""
-    spark = docs.sparkSession
-    ids = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-    bits = spark.sparkContext.broadcast(np.packbits(_filter_bits(ids)))
+def _verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The linked pairs (a, b) of set hashes, with how many elements only one has (only_a, only_b), and those (d)."""
+    ids = saved(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(firsts.select("sig", "doc"), "sig"), "jaccard-ids")
+    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(_filter_bits(ids.filter("doc is not null").select("doc"))))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = np.unpackbits(bits.value).astype(bool)
         for whole in batches:
-            whole = whole.filter(pa.array(have[_slot(whole.column(0).to_numpy())]))
+            none = whole.column(0).is_null().to_numpy(zero_copy_only=False)
+            whole = whole.filter(pa.array(none | have[_slot(whole.column(0).fill_null(0).to_numpy())]))
             for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1).to_pylist())], pa.binary())], names=["doc", "s"])
+                got = shingle_sets(whole.column(1).slice(at, 2000).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], names=["sig", "s"])
 
-    whole = docs.mapInArrow(sets, "doc long, s binary").join(ids, "doc", "left_semi").dropDuplicates(["doc"])
+    whole = docs.mapInArrow(sets, "sig long, s binary").join(ids.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
     whole = saved(whole, "jaccard-sets")
-    met = pairs.join(whole.select(F.col("doc").alias("a"), F.col("s").alias("s_a")), "a").join(whole.select(F.col("doc").alias("b"), F.col("s").alias("s_b")), "b")
+    met = pairs
+    for end, other in ("ab", "ba"):
+        met = salted_join(met, whole.select(F.col("sig").alias(end), F.col("s").alias(f"s_{end}")), end, other, hot_keys(pairs, end))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok, last, first = [], None, None
-            for x, y in zip(b.column(2), b.column(3)):
+            rows = []
+            for a, z, x, y in zip(*(b.column(c) for c in ("a", "b", "s_a", "s_b"))):
                 x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
                 both = np.concatenate((x, y))
                 both.sort(kind="stable")
-                ok.append(180 * int((both[1:] == both[:-1]).sum()) >= 80 * (len(x) + len(y)))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+                same = both[1:] == both[:-1]
+                common = int(same.sum())
+                if 180 * common >= 80 * (len(x) + len(y)):
+                    twice = np.concatenate((same, [False])) | np.concatenate(([False], same))
+                    rows.append((a.as_py(), z.as_py(), len(x) - common, len(y) - common, both[~twice].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, [*[pa.int64()] * 4, pa.binary()])], names=["a", "b", "only_a", "only_b", "d"])
+
+    return met.select("a", "b", "s_a", "s_b").mapInArrow(compare, "a long, b long, only_a long, only_b long, d binary")
+
+
+def _stars(links: DataFrame) -> DataFrame:
+    """sig, star: linked sets with a star's centre; centres have more links than all sets linked to them, and a set
+    without a linked centre is a star alone."""
+    both = saved(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")), "star-links")
+    degree = saved(both.groupBy("u").agg(F.count("*").alias("k")), "star-degrees")
+    hot = hot_keys(both, "v")
+    far = lambda rows: salted_join(both, rows.select(F.col("u").alias("v"), F.struct("k", F.col("u").alias("s")).alias("x")), "v", "u", hot).groupBy("u").agg(F.max("x").alias("x"))
+    centres = saved(degree.join(far(degree), "u").filter(F.struct("k", F.col("u").alias("s")) > F.col("x")).select("u", "k"), "star-centres")
+    joined = degree.select("u").join(far(centres), "u", "left")
+    return joined.join(centres.select("u", F.lit(True).alias("c")), "u", "left").select(F.col("u").alias("sig"), F.when(F.col("c"), F.col("u")).otherwise(F.coalesce("x.s", "u")).alias("star"))
+
+
+#: Members of a block of a star, elements of a block of a list, and columns of a matrix of differences.
+MEMBERS, ELEMENTS, COLUMNS = 1024, 512, 4096
+
+
+def _met(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of blocks x and y (structs) of one key, each once; a key with many blocks is spread over tasks."""
+    rest = F.struct(*[c for c in blocks.columns if c not in keys and c != "parts"])
+    one = blocks.select(*keys, F.col("part").alias("_p"), rest.alias("x"))
+    two = blocks.select(*keys, F.explode(F.sequence(F.lit(0), F.col("part"))).alias("_p"), rest.alias("y"))
+    return one.join(two, [*keys, "_p"]).drop("_p")
+
+
+def _within(links: DataFrame, stars: DataFrame, firsts: DataFrame) -> DataFrame:
+    """sig, near (documents linked within its star, as far as known without comparing), then more rows from comparing."""
+    edge = links.join(stars.select(F.col("sig").alias("a"), F.col("star").alias("star_a")), "a").join(stars.select(F.col("sig").alias("b"), F.col("star").alias("star_b")), "b")
+    edge = edge.filter((F.col("star_a") == F.col("star_b")) & ((F.col("a") == F.col("star_a")) | (F.col("b") == F.col("star_a"))))
+    first = F.col("a") == F.col("star_a")  # the centre is a
+    members = edge.select(F.col("star_a").alias("star"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("sig"), F.when(first, F.col("only_a")).otherwise(F.col("only_b")).alias("gone"), "d")
+    centres = members.select("star").distinct().select("star", F.col("star").alias("sig"), F.lit(0).cast("long").alias("gone"), F.lit(b"").alias("d"))
+    members = members.unionByName(centres).join(firsts.select("sig", "n", "w"), "sig")
+    size = F.octet_length("d") / 8
+    members = saved(members.withColumn("far", 10 * size > F.col("n") + F.col("gone")), "star-members")  # |x u c| = |x| + |c - x|
+    counts = members.groupBy("star").agg(F.sum(F.when(~F.col("far"), F.col("w")).otherwise(0)).alias("w_near"), F.count_if("far").alias("far_"), F.count_if(~F.col("far")).alias("near_"), F.max(F.when(F.col("sig") == F.col("star"), F.col("n"))).alias("n_c"))
+    known = salted_join(members, saved(counts, "star-counts"), "star", "sig", hot_keys(members, "star"))
+    known = known.withColumns({"fars": F.ceil(F.col("far_") / MEMBERS), "nears": F.ceil(F.col("near_") / MEMBERS)})
+    near = known.filter("not far").select("sig", (F.col("w_near") - F.col("w")).alias("more"))
+    # near blocks come first; a pair of them needs no comparing
+    part = F.when(F.col("far"), F.col("nears") + F.pmod(F.xxhash64("sig"), F.col("fars"))).otherwise(F.pmod(F.xxhash64("sig"), F.col("nears")))
+    blocks = known.filter("far_ > 0").withColumn("part", part.cast("int")).groupBy("star", "part").agg(F.first("far").alias("far"), F.first("n_c").alias("n_c"), F.collect_list(F.struct("sig", "n", "w", "gone", "d")).alias("m"))
+    met = _met(saved(blocks, "star-blocks"), ["star"]).filter("x.far or y.far")
 
-    return met.select("a", "b", "s_a", "s_b").mapInArrow(compare, "a long, b long")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                one, two = x["m"], y["m"]
+                shared = _common([m["d"] for m in one], [m["d"] for m in two])
+                n = [np.array([m["n"] for m in side], dtype=np.int64) for side in (one, two)]
+                gone = [np.array([m["gone"] for m in side], dtype=np.int64) for side in (one, two)]
+                linked = 180 * (x["n_c"] - gone[0][:, None] - gone[1][None, :] + shared) >= 80 * (n[0][:, None] + n[1][None, :])
+                w = [np.array([m["w"] for m in side], dtype=np.int64) for side in (one, two)]
+                if x["part"] == y["part"]:
+                    np.fill_diagonal(linked, False)
+                    sig, more = [m["sig"] for m in one], linked @ w[0]
+                else:
+                    sig, more = [m["sig"] for m in one + two], np.concatenate((linked @ w[1], linked.T @ w[0]))
+                yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(more, pa.int64())], names=["sig", "more"])
+
+    return near.unionByName(met.select("x", "y").mapInArrow(compare, "sig long, more long"))
+
+
+def _common(one: list[bytes], two: list[bytes]) -> np.ndarray:
+    """How many elements the sets of one have in common with the sets of two."""
+    flat = [np.frombuffer(b"".join(side), dtype=np.uint64) for side in (one, two)]
+    owner = [np.repeat(np.arange(len(side)), [len(b) // 8 for b in side]) for side in (one, two)]
+    both = np.intersect1d(*flat)
+    out = np.zeros((len(one), len(two)), dtype=np.float32)
+    at = [np.searchsorted(both, f) for f in flat]
+    hit = [(a < len(both)) & (both[np.minimum(a, len(both) - 1)] == f) if len(both) else np.zeros(len(f), dtype=bool) for a, f in zip(at, flat)]
+    for low in range(0, len(both), COLUMNS):
+        sides = []
+        for k, rows in enumerate((len(one), len(two))):
+            here = hit[k] & (at[k] >= low) & (at[k] < low + COLUMNS)
+            m = np.zeros((rows, min(COLUMNS, len(both) - low)), dtype=np.float32)
+            m[owner[k][here], at[k][here] - low] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def _across(lists: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets of different stars that meet in a list and have room for the overlap needed."""
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
+    band = F.floor(F.log2(F.col("pos") + 1.0)).cast("int")  # positions of one block are alike
+    spread = lists.withColumns({"size": size, "band": band}).withColumn("size", F.explode(F.array("size", F.col("size") + 1)))  # linked sets' sizes differ by 1.25 at most
+    counts = spread.groupBy("token", "size").agg(F.count("*").alias("k"), F.min("star").alias("low"), F.max("star").alias("high")).filter("low <> high").select("token", "size", F.ceil(F.col("k") / ELEMENTS).alias("slots"))
+    placed = spread.join(saved(counts, "list-counts"), ["token", "size"]).withColumn("slot", F.pmod(F.xxhash64("sig"), F.col("slots")))
+    packed = placed.groupBy("token", "size", "band", "slot").agg(F.max(F.col("n") - F.col("pos")).alias("reach"), F.min("n").alias("least"), F.collect_list(F.struct("sig", "n", "pos", "star")).alias("e"))
+    order = F.row_number().over(Window.partitionBy("token", "size").orderBy("band", "slot")) - 1
+    met = _met(saved(packed.withColumn("part", order).select("token", "size", "part", "reach", "least", "e"), "list-blocks"), ["token", "size"])
+    room = needed(F.col("x.least"), F.col("y.least"))
+    met = met.filter((F.col("x.reach") >= room) & (F.col("y.reach") >= room))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = b.column(0).combine_chunks() if isinstance(b.column(0), pa.ChunkedArray) else b.column(0), b.column(1)
+            found = []
+            for p, q in zip(x.to_pylist(), y.to_pylist()):
+                one, two = (np.array([(e["sig"], e["n"], e["pos"], e["star"]) for e in side["e"]], dtype=np.int64).T for side in (p, q))
+                need = (4 * (one[1][:, None] + two[1][None, :]) + 8) // 9
+                ok = (one[3][:, None] != two[3][None, :]) & ((one[1] - one[2])[:, None] >= need) & ((two[1] - two[2])[None, :] >= need)
+                i, j = np.nonzero(ok)
+                found.append(np.stack((np.minimum(one[0][i], two[0][j]), np.maximum(one[0][i], two[0][j])), axis=1))
+            got = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+
+    return met.select("x", "y").mapInArrow(pairs, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -332,44 +452,81 @@ def components(links: DataFrame) -> DataFrame:
         label = new.select("u", "m")
 
 
-def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_shingles, component_id (the smallest id reachable by links), set_id (the smallest id with equal set)."""
+def _classes_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc, n, sig) of each row, and sig, n, doc (the smallest), w (rows), comp (the component's hash), links of each set."""
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).filter("doc is not null")
+    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     profiles = saved(_profiles(base), "jaccard-profiles")
     each = profiles.filter("part is null").select("doc", "n", "sig")
     total = each.agg(F.sum("n")).first()[0] or 0
     level, common = _classes(profiles)
     classes = spark.sparkContext.broadcast(level)
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 2_500_000 + 1)
-    firsts = saved(each.filter("n > 0").groupBy("sig", "n").agg(F.min("doc").alias("doc")), "jaccard-firsts")
-    lists = _lists(_prefixes(base, classes, common, ranges), ranges)
-    lists = saved(lists, "jaccard-lists")
+    firsts = saved(each.filter("n > 0").groupBy("sig", "n").agg(F.min("doc").alias("doc"), F.count("*").alias("w")), "jaccard-firsts")
+    lists = saved(_lists(_prefixes(base, classes, common, ranges), ranges), "jaccard-lists")
 
     # the most central set of each list first
     share = lists.groupBy("sig", "n").agg(F.count("*").alias("c")).select("sig", "n", (F.col("c") / (F.col("n") - F.ceil(F.col("n") * 0.8) + 1)).alias("c"))
-    ranked = saved(lists.join(share, ["sig", "n"]).join(firsts, ["sig", "n"]).select("token", "doc", "n", "pos", "c"), "jaccard-ranked")
-    heads = ranked.groupBy("token").agg(F.max(F.struct("c", "n", (-F.col("doc")).alias("d"), "pos")).alias("h"), F.count("*").alias("k")).filter("k > 1")
-    heads = heads.select("token", (-F.col("h.d")).alias("doc_b"), F.col("h.n").alias("n_b"), F.col("h.pos").alias("pos_b"))
-    near = _named(ranked.select("token", "doc", "n", "pos"), "a").join(heads, "token").filter((F.col("doc_a") != F.col("doc_b")) & _fits("a", "b"))
-    ordered = lambda df: df.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct()
-    tried = saved(ordered(near), "jaccard-tried")
-    links = saved(_verified(base, tried), "jaccard-links")
-    label = components(links)
-
-    # lists that hold sets of different components still
-    known = ranked.join(label.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", "n", "pos", F.coalesce("label", "doc").alias("label"))
-    known = saved(known, "jaccard-known")
-    mixed = known.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token")
-    left = known.join(mixed, "token", "left_semi").withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))))
-    spread = left.withColumn("size", F.explode(F.array("size", F.col("size") + 1)))  # linked sets' sizes differ by 1.25 at most
-    pairs = spread.select("token", "size", *[F.col(c).alias(f"{c}_a") for c in ("doc", "n", "pos", "label")]).join(
-        spread.select("token", "size", *[F.col(c).alias(f"{c}_b") for c in ("doc", "n", "pos", "label")]), ["token", "size"])
-    pairs = pairs.filter((F.col("doc_a") < F.col("doc_b")) & (F.col("label_a") != F.col("label_b")) & _fits("a", "b"))
-    more = saved(ordered(pairs).join(tried, ["a", "b"], "left_anti"), "jaccard-more")
+    ranked = lists.join(share, ["sig", "n"])
+    heads = ranked.groupBy("token").agg(F.max(F.struct("c", "n", "sig", "pos")).alias("h"), F.count("*").alias("k")).filter("k > 1")
+    heads = saved(heads.select("token", "k", F.col("h.sig").alias("sig_b"), F.col("h.n").alias("n_b"), F.col("h.pos").alias("pos_b")), "jaccard-heads")
+    many = lists.select("token", *[F.col(c).alias(f"{c}_a") for c in ("sig", "n", "pos")])
+    near = salted_join(many, heads.drop("k"), "token", "sig_a", hot_keys(lists, "token")).filter((F.col("sig_a") != F.col("sig_b")) & _fits("a", "b"))
+    tried = saved(near.select(F.least("sig_a", "sig_b").alias("a"), F.greatest("sig_a", "sig_b").alias("b")).distinct(), "jaccard-tried")
+    links = saved(_verified(base, tried, firsts), "jaccard-links")
+    stars = saved(_stars(links), "jaccard-stars")
+
+    # lists that hold several stars are read again
+    known = lists.join(stars, "sig", "left").withColumn("star", F.coalesce("star", "sig"))
+    more = saved(_across(known, heads).join(tried, ["a", "b"], "left_anti"), "jaccard-more")
+    found = links.select("a", "b")
     if not more.isEmpty():
-        found = saved(_verified(base, more), "jaccard-found")
-        if not found.isEmpty():
-            label = components(links.unionByName(found))
-    out = each.join(firsts.withColumnRenamed("doc", "first"), ["sig", "n"], "left").join(label.withColumnRenamed("node", "first"), "first", "left")
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "first", "doc").alias("component_id"), F.coalesce("first", "doc").alias("set_id"))
+        found = found.unionByName(_verified(base, more, firsts).select("a", "b"))
+    end = lambda x: stars.select(F.col("sig").alias(x), F.col("star").alias(f"star_{x}"))
+    found = found.join(end("a"), "a", "left").join(end("b"), "b", "left").withColumns({"star_a": F.coalesce("star_a", "a"), "star_b": F.coalesce("star_b", "b")})
+    across = saved(found.filter("star_a <> star_b"), "jaccard-across")
+    label = components(across.select(F.col("star_a").alias("a"), F.col("star_b").alias("b"))).withColumnRenamed("node", "star")
+
+    weight = firsts.select("sig", "w")
+    to = lambda x, y: across.select(F.col(x).alias("to"), F.col(y).alias("sig"))
+    both = to("a", "b").unionByName(to("b", "a"))
+    met = salted_join(both, weight, "sig", "to", hot_keys(both, "sig")).select(F.col("to").alias("sig"), F.col("w").alias("more"))
+    counts = saved(met.unionByName(_within(links, stars, firsts)).groupBy("sig").agg(F.sum("more").alias("more")), "jaccard-counts")
+    sets = firsts.join(stars, "sig", "left").withColumn("star", F.coalesce("star", "sig")).join(counts, "sig", "left")
+    sets = salted_join(sets, label, "star", "sig", hot_keys(stars, "star"), "left")
+    return each, saved(sets.select("sig", "n", "doc", "w", F.coalesce("label", "star").alias("comp"), (F.coalesce("more", F.lit(0)) + F.col("w") - 1).alias("links")), "jaccard-classes")
+
+
+def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, n_shingles, component_id (the smallest id reachable by links), set_id (the smallest id with equal set),
+    n_links (other rows that the row is linked with)."""
+    each, sets = _classes_of(docs, id_col, text_col)
+    comps = saved(sets.groupBy("comp").agg(F.min("doc").alias("component")), "jaccard-components")
+    named = salted_join(sets, comps, "comp", "sig", hot_keys(sets, "comp"))
+    out = salted_join(each.filter("n > 0"), named.select("sig", F.col("doc").alias("first"), "component", "links"), "sig", "doc", hot_keys(each, "sig"))
+    out = out.unionByName(each.filter("n = 0").withColumns({"first": F.col("doc"), "component": F.col("doc"), "links": F.lit(0).cast("long")}))
+    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("first").alias("set_id"), F.col("links").alias("n_links"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component (with its smallest id; any one of rows that repeat that id and set), and all
+    rows with an empty set; all columns as they are."""
+    each, sets = _classes_of(docs, id_col, text_col)
+    chosen = sets.groupBy("comp").agg(F.min(F.struct(F.isnull("doc").alias("none"), "doc", "sig")).alias("x")).select("x.doc", "x.sig")
+    keep = saved(chosen.unionByName(each.filter("n = 0").select("doc", "sig")), "jaccard-kept")
+    odd = saved(each.groupBy("doc").count().filter("count > 1 or doc is null").select(F.col("doc").alias("_odd")), "jaccard-odd")
+    key = F.col(id_col).cast("long")
+    if odd.isEmpty():
+        return docs.join(keep.select(F.col("doc").alias("_kept")), key == F.col("_kept"), "left_semi")
+
+    @F.pandas_udf("n long, sig long")
+    def profile(text: pd.Series) -> pd.DataFrame:
+        got = shingle_sets(list(text))
+        return pd.DataFrame({"n": [len(s) for s in got], "sig": [signature(s) for s in got]})
+
+    plain = keep.join(odd, F.col("doc").eqNullSafe(F.col("_odd")), "left_anti")
+    once = docs.join(plain.select(F.col("doc").alias("_kept")), key == F.col("_kept"), "left_semi")
+    mixed = docs.join(odd, key.eqNullSafe(F.col("_odd")), "left_semi").withColumn("_set", profile(F.col(text_col)))
+    again = mixed.filter("_set.n > 0").join(keep.select(F.col("doc").alias("_kept"), F.col("sig").alias("_sig")), key.eqNullSafe(F.col("_kept")) & (F.col("_set.sig") == F.col("_sig")), "left_semi")
+    empty = mixed.filter("_set.n = 0")
+    return once.unionByName(again.dropDuplicates(["_set"]).drop("_set")).unionByName(empty.drop("_set"))

@@ -12,9 +12,10 @@ several components go through a plain baseline decoder (luma only is returned).
 the share of pixels that moved between their gray histograms; a cut is where it exceeds the mean plus `k` standard
 deviations of the last `window` distances since the last cut, and `floor` at least.
 
-Cases: null texts count as empty (64 zero bytes); bytes that aren't an AVI give no frames and no clips; repeated rows
-give repeated rows; an empty table gives an empty table; other columns are ignored, whatever their names. Very long
-texts are stored by frames and never held as pixels all at once.
+Cases: null texts count as empty (64 zero bytes); a null medium has null digests and no clips; bytes that aren't an AVI
+give no frames and no clips; of a damaged one, the frames that can't be read are lost alone; repeated rows give repeated
+rows; an empty table gives an empty table; other columns are ignored, whatever their names. Very long texts are stored
+by frames and never held as pixels all at once.
 """
 
 from __future__ import annotations
@@ -113,7 +114,7 @@ def parse_avi(data: bytes) -> tuple[dict, list[tuple[int, int]]]:
         elif name == b"plen" and body + 8 <= stop:
             info["payload"] = struct.unpack_from("<Q", data, body)[0]
         elif name == b"idx1":
-            index = np.frombuffer(data[body:body + size // 16 * 16], dtype=[("id", "S4"), ("flags", "<u4"), ("at", "<u4"), ("size", "<u4")])
+            index = np.frombuffer(data[body:body + (min(size, stop - body) // 16) * 16], dtype=[("id", "S4"), ("flags", "<u4"), ("at", "<u4"), ("size", "<u4")])
         at = body + size + size % 2
     if movi is None:
         return info, []
@@ -204,8 +205,12 @@ def _slow(data: bytes, head: dict) -> np.ndarray:
     parts, out = head["parts"], []
     wide, high = max(p[1] for p in parts), max(p[2] for p in parts)
     alone = len(parts) == 1
+    if not wide or not high:
+        raise ValueError("no samples")
     across = -(-head["width"] // (8 if alone else 8 * wide))
     down = -(-head["height"] // (8 if alone else 8 * high))
+    if across * down > 8 * len(data):
+        raise ValueError("more blocks than bits")
     raw, bits, have, at, last = data, 0, 0, head["at"], [0] * len(parts)
 
     def more() -> None:
@@ -282,23 +287,24 @@ def read_frames(data: bytes, histogram: bool = True) -> tuple[dict, list[tuple[d
     kept: tuple[bytes, dict] | None = None
     for at, size in places:
         frame = data[at:at + size]
-        if kept and frame.startswith(kept[0]):
-            head = kept[1]
-        elif (head := parse_jpeg(frame)) is None:
-            continue
-        else:
-            kept = (frame[:head["at"]], head)
         try:
+            if kept and frame.startswith(kept[0]):
+                head = kept[1]
+            elif (head := parse_jpeg(frame)) is None:
+                continue
+            else:
+                head["shades"] = head["quant"][head["parts"][0][3]]
+                kept = (frame[:head["at"]], head)
             out.append((head, coefficients(frame, head), None))
-        except (ValueError, KeyError, IndexError):
+        except (ValueError, KeyError, IndexError, OverflowError, struct.error):
             continue  # damaged: an intra frame is lost alone
     if histogram and out:
         for i in range(0, len(out), 64):
             some = out[i:i + 64]
-            shade = pixels(np.concatenate([c for _, c, _ in some]), some[0][0]["quant"][some[0][0]["parts"][0][3]]) if len({id(h) for h, _, _ in some}) == 1 else None
+            shade = pixels(np.concatenate([c for _, c, _ in some]), some[0][0]["shades"]) if len({id(h) for h, _, _ in some}) == 1 else None
             at = 0
             for j, (head, c, _) in enumerate(some):
-                p = shade[at:at + len(c)] if shade is not None else pixels(c, head["quant"][head["parts"][0][3]])
+                p = shade[at:at + len(c)] if shade is not None else pixels(c, head["shades"])
                 at += len(c)
                 out[i + j] = (head, c, np.bincount(p.reshape(-1) >> 3, minlength=32) / max(1, p.size))
     return info, out
@@ -343,8 +349,17 @@ def store(text: Column | str, side: int = 4) -> Column:
     return put(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
+CLIP = "clip:int,first_frame:int,n_frames:int,start_s:double,end_s:double,cut:double"
+CLIP_NAMES = [c.split(":")[0] for c in CLIP.split(",")]
+
+
+def clip_rows(found: list[tuple[int, int, float]], rate: float) -> list[tuple]:
+    """CLIP of each shot."""
+    return [(n, a, z - a, a / rate, z / rate, d) for n, (a, z, d) in enumerate(found)]
+
+
 def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", k: float = 2.0, window: int = 8, floor: float = 0.1) -> DataFrame:
-    """Timed clip rows: id_col, clip, first_frame, n_frames, start_s, end_s, cut."""
+    """Timed clip rows: id_col and the fields of CLIP."""
     picked = media.select(F.col(id_col), F.col(media_col).alias("_media"))
     kind = picked.schema[0].dataType.simpleString()
 
@@ -353,25 +368,31 @@ def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", k:
             rows = []
             for key, data in zip(b.iloc[:, 0], b["_media"]):
                 info, frames = read_frames(bytes(data)) if data is not None else ({}, [])
-                for n, (a, z, d) in enumerate(shots([h for _, _, h in frames], k, window, floor)):
-                    rows.append((key, n, a, z - a, a / info["rate"], z / info["rate"], d))
-            yield pd.DataFrame(rows, columns=[id_col, "clip", "first_frame", "n_frames", "start_s", "end_s", "cut"])
+                found = shots([h for _, _, h in frames], k, window, floor)
+                rows += [(key, *c) for c in clip_rows(found, info["rate"])] if found else []
+            yield pd.DataFrame(rows, columns=[id_col, *CLIP_NAMES])
 
-    return picked.mapInPandas(run, f"`{id_col}` {kind}, clip int, first_frame int, n_frames int, start_s double, end_s double, cut double")
+    return picked.mapInPandas(run, f"`{id_col}` {kind}, " + CLIP.replace(":", " "))
 
 
 def digests(media: Column) -> Column:
-    """What is read back from stored media, as a struct: payload length and hashes, media hash, frames, shots."""
+    """What is read back from stored media, as a struct: payload length and hashes, media hash, frames, shots, clips."""
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"]
 
-    @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    @F.pandas_udf(f"payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips array<struct<{CLIP}>>")
     def get(col: pd.Series) -> pd.DataFrame:
         rows = []
         for data in col:
+            if data is None:
+                rows.append((None,) * len(names))
+                continue
             info, frames = read_frames(bytes(data))
             back = payload_of(info, frames)
             found = shots([h for _, _, h in frames])
-            feature = f"frames={len(frames)};shots={len(found)};cut={max((d for _, _, d in found), default=0):.4f};seconds={len(frames) / info['rate']:.2f}"
-            rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-        return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            feature = f"frames={len(frames)};shots={len(found)};cut={max((d for _, _, d in found), default=0):.4f};seconds={len(frames) / info.get('rate', RATE):.2f}"
+            timed = [dict(zip(CLIP_NAMES, c)) for c in clip_rows(found, info["rate"])] if found else []
+            rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, timed))
+        out = pd.DataFrame(rows, columns=names)
+        return out.astype({c: "Int64" for c in ("payload_bytes", "tail_crc32", "media_bytes")})
 
     return get(media)

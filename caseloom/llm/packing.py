@@ -1,6 +1,7 @@
 """Mixture-controlled packing: deficit round-robin over one queue of documents for each source.
 
-First every document is encoded where it lies, and its ids are written with its shard (the task that wrote them).
+First every document is encoded where it lies, and its ids are written with its shard: a run of at most SHARD ids, or
+one longer document, of the task that wrote them, so that no task ever holds more than that of one shard.
 Token totals by shard and source then give each source's target share (or the caller's) and, by prefix sums over
 shards, each shard's starting deficits and its first sequence id: the deficits that all shards before it would hand
 on. Shards are packed side by side. A window adds share * window to each source's deficit; sources are served in
@@ -30,7 +31,7 @@ from tokenizers import Tokenizer
 
 from caseloom.llm.common import saved
 
-WINDOW, END, LEAST = 2048, 1, 128
+WINDOW, END, LEAST, SHARD = 2048, 1, 128, 1 << 21
 
 
 class FileEncoder:
@@ -74,42 +75,56 @@ def file_encoder(path: str) -> FileEncoder:
     return _encoders[path]
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = SHARD) -> DataFrame:
     """shard, id_col, source, n, ids: little-endian unsigned 32-bit ids, the end id included."""
-    picked = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.coalesce(F.col(source_col).cast("string"), F.lit("\0")).alias("source"))
+    picked = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("source"))
     kind = picked.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_one, shard = file_encoder(path).encode, TaskContext.get().partitionId()
+        encode_one, shard, held = file_encoder(path).encode, TaskContext.get().partitionId() << 32, 0
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 ids = [np.array([*encode_one(t), END], dtype="<u4") for t in b.column(1).to_pylist()]
+                shards = []
+                for x in ids:
+                    if held and held + len(x) > most:
+                        shard, held = shard + 1, 0
+                    held += len(x)
+                    shards.append(shard)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard] * len(ids), pa.int32()), b.column(0), b.column(2), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u2").tobytes() if x.max() < 65536 else b"\0" + x.tobytes() for x in ids], pa.binary())],
+                    [pa.array(shards, pa.int64()), b.column(0), b.column(2), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u2").tobytes() if x.max() < 65536 else b"\0" + x.tobytes() for x in ids], pa.binary())],
                     names=["shard", id_col, "source", "n", "ids"],
                 )
 
-    return picked.mapInArrow(run, f"shard int, `{id_col}` {kind}, source string, n long, ids binary")
+    return picked.mapInArrow(run, f"shard long, `{id_col}` {kind}, source string, n long, ids binary")
+
+
+def _before(df: DataFrame, keys: list[str], sums: dict[str, str]) -> DataFrame:
+    """df with the sums of columns over all shards before, of the same keys: first within a task, then over one row a
+    task, so that no window has a row for every shard."""
+    within = Window.partitionBy(*keys, "_task").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy(*keys).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = df.groupBy(*keys, "_task").agg(*[F.sum(c).alias(c) for c in sums])
+    tasks = tasks.select(*keys, "_task", *[F.coalesce(F.sum(c).over(over), F.lit(0)).alias(f"_past{c}") for c in sums])
+    near = df.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(to) for c, to in sums.items()])
+    return near.join(tasks, [*keys, "_task"]).withColumns({to: F.col(to) + F.col(f"_past{c}") for c, to in sums.items()})
 
 
 def plan(counts: DataFrame, targets: dict[str, float] | None = None, window: int = WINDOW) -> DataFrame:
     """shard, source, share, deficit, first_sequence from token totals (shard, source, n). One row a shard and source
-    that meet; what a shard lacked before counts in the prefix sums. Windows run over these totals, not documents."""
+    that meet; what a shard lacked before counts in the prefix sums. Windows run over these totals, not documents, and
+    the one window without a key over a row a task."""
     if targets is None:
         total = counts.agg(F.sum("n")).first()[0] or 1
         sources = counts.groupBy("source").agg((F.sum("n") / total).alias("share"))
     else:
-        wanted = F.create_map(*[F.lit(x) for kv in targets.items() for x in kv]) if targets else F.create_map().cast("map<string,double>")
+        wanted = F.create_map(*[F.lit(x) for k, v in targets.items() for x in ("" if k is None else f"={k}", float(v))]) if targets else F.create_map().cast("map<string,double>")
         sources = counts.select("source").distinct().withColumn("share", F.coalesce(F.element_at(wanted, F.col("source")), F.lit(0.0)))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = counts.groupBy("shard").agg(F.sum("n").alias("_n")).select(
-        "shard",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        F.coalesce(F.sum(F.floor(F.col("_n") / window) + F.bit_count(F.col("_n") % window)).over(before), F.lit(0)).alias("first_sequence"),
-    )
-    own = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    carried = counts.withColumn("_own", F.coalesce(F.sum("n").over(own), F.lit(0)))
+    task = F.shiftright("shard", 32).alias("_task")
+    shards = counts.groupBy("shard").agg(F.sum("n").alias("_n")).withColumns({"_q": F.floor(F.col("_n") / window) + F.bit_count(F.col("_n") % window), "_task": task})
+    shards = _before(shards, [], {"_n": "_before", "_q": "first_sequence"}).select("shard", "_before", "first_sequence")
+    carried = _before(counts.withColumn("_task", task), ["source"], {"n": "_own"})
     pairs = carried.join(shards, "shard").join(sources, "source")
     return pairs.select("shard", "source", "share", (F.col("share") * F.col("_before") - F.col("_own")).alias("deficit"), "first_sequence")
 
@@ -160,9 +175,9 @@ def fill(sizes: list[int], owner: list[int], share: list[float], deficit: list[f
     return out
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", window: int = WINDOW, targets: dict[str, float] | None = None) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", window: int = WINDOW, targets: dict[str, float] | None = None, most: int = SHARD) -> DataFrame:
     """One row a piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, source."""
-    coded = saved(encode(docs, path, id_col, text_col, source_col), "packing-ids")
+    coded = saved(encode(docs, path, id_col, text_col, source_col, most), "packing-ids")
     counts = saved(coded.groupBy("shard", "source").agg(F.sum("n").alias("n")), "packing-counts")
     kind = coded.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
@@ -192,4 +207,4 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         return table.add_column(0, id_col, rows.column(id_col).take(take)).append_column("source", rows.column("source").take(take))
 
     packed = coded.groupBy("shard").cogroup(plan(counts, targets, window).groupBy("shard")).applyInArrow(run, schema)
-    return packed.withColumn("source", F.nullif(F.col("source"), F.lit("\0")))
+    return packed.withColumn("source", F.when(F.col("source") != "", F.substr(F.col("source"), F.lit(2))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import secrets
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +12,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from caseloom.llm import bpe, chat, counts, jaccard, media, packing, pii, topk, toxicity, urls
-from caseloom.llm.common import shared_folder
+from caseloom.llm.common import saved, shared_folder
 
 #: The query's allow and block rules.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
+_OWN_KEY = secrets.token_bytes(32)
+
+
 def pii_key() -> bytes:
-    """The secret of the pseudonyms: CASELOOM_PII_KEY, or a fixed one for tests."""
-    return hashlib.sha256(os.environ.get("CASELOOM_PII_KEY", "caseloom test key").encode()).digest()
+    """The secret of the pseudonyms, from CASELOOM_PII_KEY. Without it, this driver process draws a random key and keeps
+    it nowhere: values stay linked within its runs, and nobody can take the pseudonyms back afterwards."""
+    own = os.environ.get("CASELOOM_PII_KEY")
+    return hashlib.sha256(own.encode()).digest() if own else _OWN_KEY
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored films' digests and their timed clip rows, in one array a document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), media.store("text").alias("media"))
     return docs.select("doc_id", "n_bytes", media.digests(F.col("media")).alias("d")).select("doc_id", "n_bytes", "d.*")
 
@@ -79,6 +86,7 @@ def op9_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches over all documents, one delivered twice: inserts under two versions, revised counts of labelled
     documents, deletes of toxic ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", counts.count_of(F.col("text"), counts.WORDS_1).alias("words"), counts.count_of(F.col("text"), counts.PIECES_2).alias("pieces"))
+    docs = saved(docs, "counts")  # the texts are counted once
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     version = F.explode(F.array(*[F.struct(F.lit(v).alias("tokenizer"), F.col(c).alias("tokens")) for v, c in (("words-1", "words"), ("pieces-2", "pieces"))]))
     keys = lambda df, kind: df.withColumn("kind", F.lit(kind)).withColumn("event_id", F.concat_ws(":", "kind", "tokenizer", "doc_id"))
@@ -90,6 +98,7 @@ def op9_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit(1, first)
     rollup.commit(2, revised)
     rollup.commit(2, revised)
+    rollup.compact()
     rollup.commit(3, keys(gone, "delete"))
     return rollup.totals()
 

@@ -34,8 +34,8 @@ EDGE = string.punctuation + string.digits + "\u2018\u2019\u201c\u201d\u00ab\u00b
 
 
 def words_of(text: str | None) -> set[str]:
-    """A text's distinct lower-cased words, without punctuation and digits around them; long ones by their start."""
-    return {w[:64] for t in set((text or "").lower().split()) if (w := t.strip(EDGE))}
+    """A text's distinct lower-cased words, without punctuation and digits around them."""
+    return {w for t in set((text or "").lower().split()) if (w := t.strip(EDGE))}
 
 
 def features(words: set[str]) -> set[str]:
@@ -53,6 +53,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds[None, :], -30, 30)))
 
 
+def loss(w: np.ndarray, first: float, gaps: np.ndarray, index: np.ndarray, owner: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The mean negative log likelihood and its gradients by the weights and by (first, gaps). Thresholds are first and
+    first plus the running sums of exp(gaps); row owner[i] has the feature index[i]."""
+    n, k = len(grades), len(gaps) + 2
+    theta = np.concatenate([[first], first + np.cumsum(np.exp(gaps))])
+    s = np.bincount(owner, weights=w[index], minlength=n)
+    f = 1 / (1 + np.exp(-np.clip(theta[None, :] - s[:, None], -30, 30)))
+    edge = np.concatenate([np.zeros((n, 1)), f, np.ones((n, 1))], axis=1)
+    below, upto = edge[np.arange(n), grades], edge[np.arange(n), grades + 1]
+    p = np.maximum(upto - below, 1e-12)
+    g = np.bincount(index, weights=((1 - upto - below) / n)[owner], minlength=len(w))
+    t = np.zeros(k + 1)
+    np.add.at(t, grades + 1, -upto * (1 - upto) / p / n)
+    np.add.at(t, grades, below * (1 - below) / p / n)
+    t = t[1:k]
+    return float(-np.log(p).mean()), g, np.concatenate([[t.sum()], np.cumsum(t[::-1])[::-1][1:] * np.exp(gaps)])
+
+
 def fit_words(rows: list[set[str]], grades: np.ndarray, steps: int = 400, rate: float = 0.5, l1: float = 1e-4) -> Model:
     """Fit on sets of words and grades 0..K-1."""
     k = int(grades.max(initial=0)) + 1
@@ -80,20 +98,8 @@ def fit_words(rows: list[set[str]], grades: np.ndarray, steps: int = 400, rate:
     share = np.array([(grades <= j).mean() for j in range(k - 1)]).clip(1e-3, 1 - 1e-3)
     first, gaps = np.log(share[0] / (1 - share[0])), np.full(k - 2, 0.0)
     seen_t = np.full(k - 1, 1e-8)
-    n = len(rows)
     for _ in range(steps):
-        theta = np.concatenate([[first], first + np.cumsum(np.exp(gaps))])
-        s = np.bincount(owner, weights=w[index], minlength=n)
-        f = 1 / (1 + np.exp(-np.clip(theta[None, :] - s[:, None], -30, 30)))
-        edge = np.concatenate([np.zeros((n, 1)), f, np.ones((n, 1))], axis=1)
-        below, upto = edge[np.arange(n), grades], edge[np.arange(n), grades + 1]
-        p = np.maximum(upto - below, 1e-12)
-        g = np.bincount(index, weights=((1 - upto - below) / n)[owner], minlength=len(used))
-        t = np.zeros(k + 1)
-        np.add.at(t, grades + 1, -upto * (1 - upto) / p / n)
-        np.add.at(t, grades, below * (1 - below) / p / n)
-        t = t[1:k]
-        t = np.concatenate([[t.sum()], np.cumsum(t[::-1])[::-1][1:] * np.exp(gaps)])
+        _, g, t = loss(w, first, gaps, index, owner, grades)
         seen += g * g
         lr = rate / np.sqrt(seen)
         w -= lr * g

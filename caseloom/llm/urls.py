@@ -19,6 +19,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caseloom.llm.common import saved
+
 #: Labelled rows that train the trees, at most.
 MOST = 20_000
 LEXICAL = ["url_length", "host_length", "path_depth", "host_labels", "digit_ratio", "entropy", "n_params", "n_marks", "has_fragment", "longest_run"]
@@ -64,6 +66,15 @@ def lexical(df: DataFrame, url: str = "url", host: str = "host", path: str = "pa
     })
 
 
+INPUTS = [*LEXICAL, "last_label_share", "first_part_share"]
+
+
+def fit_trees(sample: DataFrame, iterations: int = 10, depth: int = 3):
+    """Spark's boosted trees on INPUTS and label."""
+    vectors = VectorAssembler(inputCols=INPUTS, outputCol="_features", handleInvalid="keep")
+    return GBTClassifier(featuresCol="_features", labelCol="label", maxIter=iterations, maxDepth=depth, stepSize=0.3, seed=7).fit(vectors.transform(sample))
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", id_col: str = "page_id", labels: DataFrame | None = None, most: int = MOST, iterations: int = 10, depth: int = 3) -> DataFrame:
     """id_col, host, path, rule, verdict, score (the trees' probability of block). labels: id_col, blocked (0 or 1)."""
     base = pages.select(F.col(id_col), F.col(url).alias("url"))
@@ -72,31 +83,23 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", id_c
     base = base.withColumns({"last_label": F.regexp_extract("host", r"([^.]*)\z", 1), "first_part": F.regexp_extract("path", r"\A/?([^/]*)", 1)})
     full = lexical(base, "url")
     known = full.filter("_fit is not null").withColumn("label", (F.col("_fit.verdict") == "block").cast("double")) if labels is None else full.join(labels.select(id_col, F.col("blocked").cast("double").alias("label")), id_col)
-    sample = known.select("url", "last_label", "first_part", "label", *LEXICAL).orderBy(F.xxhash64("url"), "url").limit(most).persist()
-    try:
-        classes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-        all_ = sum(classes.values())
-        prior = classes.get(1.0, 0) / all_ if all_ else 0.0
-
-        def shares(name: str) -> DataFrame:  # at most one row for each row of the bounded sample
-            return sample.groupBy(name).agg(((F.sum("label") + 4 * prior) / (F.count("*") + 4)).alias(f"{name}_share"))
-
-        def with_shares(df: DataFrame) -> DataFrame:
-            for name in ("last_label", "first_part"):
-                df = df.join(F.broadcast(shares(name)), name, "left").fillna({f"{name}_share": prior})
-            return df
-
-        if min(classes.get(0.0, 0), classes.get(1.0, 0)) == 0:
-            judged = full.withColumn("score", F.lit(float(prior)))
-        else:
-            inputs = [*LEXICAL, "last_label_share", "first_part_share"]
-            vectors = VectorAssembler(inputCols=inputs, outputCol="_features", handleInvalid="keep")
-            trees = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=iterations, maxDepth=depth, stepSize=0.3, seed=7)
-            model = trees.fit(vectors.transform(with_shares(sample)))
-            margin = 2 * model_margin(model, inputs)
-            judged = with_shares(full).withColumn("score", 1 / (1 + F.exp(-margin)))
-    finally:
-        sample.unpersist()
+    sample = saved(known.select("url", "last_label", "first_part", "label", *LEXICAL).orderBy(F.xxhash64("url"), "url").limit(most), "url-sample")
+    classes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    all_ = sum(classes.values())
+    prior = classes.get(1.0, 0) / all_ if all_ else 0.0
+    # at most one row for each row of the bounded sample
+    shares = {n: saved(sample.groupBy(n).agg(((F.sum("label") + 4 * prior) / (F.count("*") + 4)).alias(f"{n}_share")), "url-shares") for n in ("last_label", "first_part")}
+
+    def with_shares(df: DataFrame) -> DataFrame:
+        for name, share in shares.items():
+            df = df.join(F.broadcast(share), name, "left").fillna({f"{name}_share": prior})
+        return df
+
+    if min(classes.get(0.0, 0), classes.get(1.0, 0)) == 0:
+        judged = full.withColumn("score", F.lit(float(prior)))
+    else:
+        margin = 2 * model_margin(fit_trees(with_shares(sample), iterations, depth), INPUTS)
+        judged = with_shares(full).withColumn("score", 1 / (1 + F.exp(-margin)))
     verdict = F.coalesce(F.col("_fit.verdict"), F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
     return judged.select(id_col, "host", "path", F.col("_fit.rule").alias("rule"), verdict.alias("verdict"), "score")
 
