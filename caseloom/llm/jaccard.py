@@ -373,34 +373,56 @@ def _within(links: DataFrame, stars: DataFrame, firsts: DataFrame) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                one, two = x["m"], y["m"]
-                shared = _common([m["d"] for m in one], [m["d"] for m in two])
-                n = [np.array([m["n"] for m in side], dtype=np.int64) for side in (one, two)]
-                gone = [np.array([m["gone"] for m in side], dtype=np.int64) for side in (one, two)]
-                linked = 180 * (x["n_c"] - gone[0][:, None] - gone[1][None, :] + shared) >= 80 * (n[0][:, None] + n[1][None, :])
-                w = [np.array([m["w"] for m in side], dtype=np.int64) for side in (one, two)]
-                if x["part"] == y["part"]:
+            x, y = (_Lists(b.column(i), "m") for i in (0, 1))
+            centre, part = b.column(0).field("n_c").to_numpy(), [b.column(i).field("part").to_numpy() for i in (0, 1)]
+            for i in range(b.num_rows):
+                one, two = x.row(i, "sig", "n", "w", "gone"), y.row(i, "sig", "n", "w", "gone")
+                shared = _common(x.binary(i, "d"), y.binary(i, "d"))
+                linked = 180 * (centre[i] - one[3][:, None] - two[3][None, :] + shared) >= 80 * (one[1][:, None] + two[1][None, :])
+                if part[0][i] == part[1][i]:
                     np.fill_diagonal(linked, False)
-                    sig, more = [m["sig"] for m in one], linked @ w[0]
+                    sig, more = one[0], linked @ one[2]
                 else:
-                    sig, more = [m["sig"] for m in one + two], np.concatenate((linked @ w[1], linked.T @ w[0]))
-                yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(more, pa.int64())], names=["sig", "more"])
+                    sig, more = np.concatenate((one[0], two[0])), np.concatenate((linked @ two[2], linked.T @ one[2]))
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(more)], names=["sig", "more"])
 
     return near.unionByName(met.select("x", "y").mapInArrow(compare, "sig long, more long"))
 
 
-def _common(one: list[bytes], two: list[bytes]) -> np.ndarray:
-    """How many elements the sets of one have in common with the sets of two."""
-    flat = [np.frombuffer(b"".join(side), dtype=np.uint64) for side in (one, two)]
-    owner = [np.repeat(np.arange(len(side)), [len(b) // 8 for b in side]) for side in (one, two)]
+class _Lists:
+    """Rows of a column of blocks (structs), whose field holds a list of structs, as numpy arrays."""
+
+    def __init__(self, blocks: pa.StructArray, field: str):
+        lists = blocks.field(field)
+        self.cuts, self.values = lists.offsets.to_numpy(), lists.values
+        self.held: dict[str, np.ndarray] = {}
+
+    def row(self, i: int, *names: str) -> list[np.ndarray]:
+        for n in names:
+            if n not in self.held:
+                self.held[n] = self.values.field(n).to_numpy(zero_copy_only=False).astype(np.int64)
+        return [self.held[n][self.cuts[i]:self.cuts[i + 1]] for n in names]
+
+    def binary(self, i: int, name: str) -> tuple[np.ndarray, np.ndarray]:
+        """The 64-bit elements of a list's binaries, one after the other, and how many each has."""
+        v = self.values.field(name)
+        _, offsets, data = v.buffers()
+        cuts = np.frombuffer(offsets, dtype=np.int32)[v.offset + self.cuts[i]:v.offset + self.cuts[i + 1] + 1]
+        raw = np.frombuffer(data or b"", dtype=np.uint8)[cuts[0]:cuts[-1]]
+        return np.frombuffer(raw.tobytes(), dtype=np.uint64), np.diff(cuts) // 8
+
+
+def _common(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many elements the sets of one have in common with the sets of two; sets as elements in a row and their sizes."""
+    flat = one[0], two[0]
+    owner = [np.repeat(np.arange(len(side[1])), side[1]) for side in (one, two)]
     both = np.intersect1d(*flat)
-    out = np.zeros((len(one), len(two)), dtype=np.float32)
+    out = np.zeros((len(one[1]), len(two[1])), dtype=np.float32)
     at = [np.searchsorted(both, f) for f in flat]
     hit = [(a < len(both)) & (both[np.minimum(a, len(both) - 1)] == f) if len(both) else np.zeros(len(f), dtype=bool) for a, f in zip(at, flat)]
     for low in range(0, len(both), COLUMNS):
         sides = []
-        for k, rows in enumerate((len(one), len(two))):
+        for k, rows in enumerate((len(one[1]), len(two[1]))):
             here = hit[k] & (at[k] >= low) & (at[k] < low + COLUMNS)
             m = np.zeros((rows, min(COLUMNS, len(both) - low)), dtype=np.float32)
             m[owner[k][here], at[k][here] - low] = 1
@@ -409,31 +431,39 @@ def _common(one: list[bytes], two: list[bytes]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _across(lists: DataFrame, tokens: DataFrame) -> DataFrame:
+def _across(lists: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets of different stars that meet in a list and have room for the overlap needed."""
     size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
     band = F.floor(F.log2(F.col("pos") + 1.0)).cast("int")  # positions of one block are alike
     spread = lists.withColumns({"size": size, "band": band}).withColumn("size", F.explode(F.array("size", F.col("size") + 1)))  # linked sets' sizes differ by 1.25 at most
     counts = spread.groupBy("token", "size").agg(F.count("*").alias("k"), F.min("star").alias("low"), F.max("star").alias("high")).filter("low <> high").select("token", "size", F.ceil(F.col("k") / ELEMENTS).alias("slots"))
     placed = spread.join(saved(counts, "list-counts"), ["token", "size"]).withColumn("slot", F.pmod(F.xxhash64("sig"), F.col("slots")))
-    packed = placed.groupBy("token", "size", "band", "slot").agg(F.max(F.col("n") - F.col("pos")).alias("reach"), F.min("n").alias("least"), F.collect_list(F.struct("sig", "n", "pos", "star")).alias("e"))
-    order = F.row_number().over(Window.partitionBy("token", "size").orderBy("band", "slot")) - 1
-    met = _met(saved(packed.withColumn("part", order).select("token", "size", "part", "reach", "least", "e"), "list-blocks"), ["token", "size"])
+    # a large star's members are in blocks of their own, which needn't meet each other
+    own = F.when(F.col("large"), F.col("star")).otherwise(0)
+    packed = placed.groupBy("token", "size", "band", "slot", own.alias("own")).agg(F.max(F.col("n") - F.col("pos")).alias("reach"), F.min("n").alias("least"), F.collect_list(F.struct("sig", "n", "pos", "star")).alias("e"))
+    order = F.row_number().over(Window.partitionBy("token", "size").orderBy("own", "band", "slot")) - 1
+    met = _met(saved(packed.withColumn("part", order).select("token", "size", "part", "own", "reach", "least", "e"), "list-blocks"), ["token", "size"])
     room = needed(F.col("x.least"), F.col("y.least"))
-    met = met.filter((F.col("x.reach") >= room) & (F.col("y.reach") >= room))
+    met = met.filter((F.col("x.reach") >= room) & (F.col("y.reach") >= room) & ((F.col("x.own") == 0) | (F.col("x.own") != F.col("y.own"))))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = b.column(0).combine_chunks() if isinstance(b.column(0), pa.ChunkedArray) else b.column(0), b.column(1)
-            found = []
-            for p, q in zip(x.to_pylist(), y.to_pylist()):
-                one, two = (np.array([(e["sig"], e["n"], e["pos"], e["star"]) for e in side["e"]], dtype=np.int64).T for side in (p, q))
+            x, y, found, size = _Lists(b.column(0), "e"), _Lists(b.column(1), "e"), [], 0
+            for at in range(b.num_rows):
+                one, two = (side.row(at, "sig", "n", "pos", "star") for side in (x, y))
                 need = (4 * (one[1][:, None] + two[1][None, :]) + 8) // 9
                 ok = (one[3][:, None] != two[3][None, :]) & ((one[1] - one[2])[:, None] >= need) & ((two[1] - two[2])[None, :] >= need)
                 i, j = np.nonzero(ok)
-                found.append(np.stack((np.minimum(one[0][i], two[0][j]), np.maximum(one[0][i], two[0][j])), axis=1))
-            got = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+                if len(i):
+                    found.append(np.stack((np.minimum(one[0][i], two[0][j]), np.maximum(one[0][i], two[0][j])), axis=1))
+                    size += len(i)
+                if size > 1 << 18:
+                    got = np.unique(np.concatenate(found), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+                    found, size = [], 0
+            if found:
+                got = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
     return met.select("x", "y").mapInArrow(pairs, "a long, b long").distinct()
 
@@ -477,8 +507,9 @@ def _classes_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     stars = saved(_stars(links), "jaccard-stars")
 
     # lists that hold several stars are read again
-    known = lists.join(stars, "sig", "left").withColumn("star", F.coalesce("star", "sig"))
-    more = saved(_across(known, heads).join(tried, ["a", "b"], "left_anti"), "jaccard-more")
+    large = stars.groupBy("star").agg((F.count("*") > ELEMENTS).alias("large"))
+    known = lists.join(stars.join(large.filter("large"), "star", "left"), "sig", "left").withColumns({"star": F.coalesce("star", "sig"), "large": F.coalesce("large", F.lit(False))})
+    more = saved(_across(known).join(tried, ["a", "b"], "left_anti"), "jaccard-more")
     found = links.select("a", "b")
     if not more.isEmpty():
         found = found.unionByName(_verified(base, more, firsts).select("a", "b"))
