@@ -18,9 +18,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component."""
-    first = jaccard.similarity_components(docs.select("doc_id", "text")).filter("doc_id = component_id").select("doc_id")
-    return docs.join(first.distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """One document of each component, the one with the smallest id; of repeated rows one stays, and documents without an
+    id count as others do."""
+    return jaccard.one_of_each(docs).select(*docs.columns)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
