@@ -47,18 +47,6 @@ def src11_incremental(spark, sf_dir):
     return up.join(held, ["case_id", "sha256"], "left_anti").groupBy("case_id", "sha256").agg(F.min("upload_id").alias("upload_id"))
 
 
-def blk6_quality(spark, sf_dir):
-    """Text quality of each document: the parts of the score, and whether it needs OCR."""
-    t = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\t\f\x0B ]+", " "), r"\n{3,}", "\n\n"))
-    n = lambda pattern: F.regexp_count(F.col("t"), F.lit(pattern)).cast("double")
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", t.alias("t")).withColumns({"characters": n(r"[^\s]"), "words": n(r"[\p{L}\p{N}_]+"), "alnum": n(r"[\p{L}\p{N}]"), "lines": F.greatest(n(r"[^\n]*[^\s][^\n]*"), F.lit(1.0)), "runs": n(r"[^\p{L}\p{N}_\s]{5,}"), "bad": n(r"[\x00-\x08\x0E-\x1F\x7F\x{FFFD}]")})
-    c = F.col("characters")
-    score = 0.30 * F.least(c / 80, F.lit(1.0)) + 0.25 * (1 - F.col("bad") / c) + 0.20 * F.least(F.col("alnum") / c / 0.45, F.lit(1.0)) + 0.15 * F.least(F.col("words") / 12, F.lit(1.0)) + 0.10 * F.least(F.col("lines") / 5, F.lit(1.0)) - F.least(F.lit(0.55), F.col("bad") / c * 2.5 + F.col("runs") * 0.08)
-    safe = F.when(c > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))).otherwise(0.0)
-    out = d.select("doc_id", c.cast("long").alias("characters"), F.col("words").cast("long").alias("words"), F.round(safe, 3).alias("score"))
-    return out.withColumn("needs_ocr", ((F.col("score") < 0.55) | (F.col("characters") < 24)).cast("string"))
-
-
 def blk8_headings(spark, sf_dir):
     """Lines of at most 14 words of whose letters 65 % or more are capitals."""
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "text"))
@@ -301,7 +289,7 @@ def qa5_latency(spark, sf_dir):
     return r.groupBy("event_type").agg(F.min("value").alias("least"), F.round(F.avg("value"), 6).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("value").alias("most"))
 
 
-QUERIES = {f.__name__: f for f in (src9_versions, src12_latest, src11_incremental, blk6_quality, blk8_headings, blk15_fingerprints, blk16_titles, rs1_allowed_urls, gv1_redacted, gv3_rate_windows, gv4_quota, gv5_audit, jb1_keys, jb3_sequences, jb4_state, jb5_after, jb6_retries, jb7_leases, an1_case_list, an2_recent, an3_buckets, an4_week, an8_followups, rv3_workspace, qa1_fragments, qa1_passages, qa2_metrics, qa5_latency)}
+QUERIES = {f.__name__: f for f in (src9_versions, src12_latest, src11_incremental, blk8_headings, blk15_fingerprints, blk16_titles, rs1_allowed_urls, gv1_redacted, gv3_rate_windows, gv4_quota, gv5_audit, jb1_keys, jb3_sequences, jb4_state, jb5_after, jb6_retries, jb7_leases, an1_case_list, an2_recent, an3_buckets, an4_week, an8_followups, rv3_workspace, qa1_fragments, qa1_passages, qa2_metrics, qa5_latency)}
 
 _UP = """WITH up AS (SELECT source AS case_id, doc_id AS upload_id, lang || ' File#' || CAST(doc_id % 7 AS VARCHAR) || '.TXT' AS original_name, sha256(coalesce(text, '')) AS sha256, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size FROM documents),
 m AS (SELECT *, row_number() OVER w AS n, first_value(upload_id) OVER w AS first_upload FROM up WINDOW w AS (PARTITION BY case_id, sha256 ORDER BY upload_id)),
@@ -314,14 +302,6 @@ SQL = {
     "src9_versions": _UP + "SELECT * FROM v",
     "src12_latest": _UP + "SELECT case_id, document_id, arg_max(upload_id, version) AS upload_id, max(version) AS version FROM v WHERE version IS NOT NULL GROUP BY ALL",
     "src11_incremental": _UP + "SELECT case_id, sha256, min(upload_id) AS upload_id FROM up WHERE (case_id, sha256) NOT IN (SELECT (case_id, sha256) FROM up WHERE upload_id IN (SELECT doc_id FROM labels)) GROUP BY ALL",
-    "blk6_quality": r"""
-WITH d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '[\t\f\x0B ]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ') AS t FROM documents),
-c AS (SELECT doc_id, len(regexp_extract_all(t, '[^\s]'))::DOUBLE AS characters, len(regexp_extract_all(t, '[\p{L}\p{N}_]+')) AS words, len(regexp_extract_all(t, '[\p{L}\p{N}]')) AS alnum,
-  greatest(len(regexp_extract_all(t, '[^\n]*[^\s][^\n]*')), 1) AS lines, len(regexp_extract_all(t, '[^\p{L}\p{N}_\s]{5,}')) AS runs, len(regexp_extract_all(t, '[\x00-\x08\x0E-\x1F\x7F\x{FFFD}]')) AS bad FROM d),
-s AS (SELECT doc_id, CAST(characters AS BIGINT) AS characters, CAST(words AS BIGINT) AS words, CASE WHEN characters > 0 THEN round(greatest(0::DOUBLE, least(1::DOUBLE,
-  0.30::DOUBLE * least(characters / 80, 1::DOUBLE) + 0.25::DOUBLE * (1 - bad / characters) + 0.20::DOUBLE * least(alnum / characters / 0.45::DOUBLE, 1::DOUBLE) + 0.15::DOUBLE * least(words / 12::DOUBLE, 1::DOUBLE) + 0.10::DOUBLE * least(lines / 5::DOUBLE, 1::DOUBLE)
-  - least(0.55::DOUBLE, bad / characters * 2.5::DOUBLE + runs * 0.08::DOUBLE))), 3) ELSE 0::DOUBLE END AS score FROM c)
-SELECT *, CASE WHEN score < 0.55 OR characters < 24 THEN 'true' ELSE 'false' END AS needs_ocr FROM s""",
     "blk8_headings": r"""SELECT doc_id, line, text FROM (SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS line, unnest(l) AS text FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))
 WHERE len(regexp_extract_all(text, '[^\s]+')) <= 14 AND len(regexp_extract_all(text, '\p{L}')) > 0 AND len(regexp_extract_all(text, '\p{Lu}'))::DOUBLE / len(regexp_extract_all(text, '\p{L}')) >= 0.65""",
     "blk15_fingerprints": "SELECT source, sha256(concat_ws('|', lang, text)) AS fingerprint, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY ALL HAVING count(*) > 1",

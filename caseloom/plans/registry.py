@@ -93,18 +93,21 @@ def jb2_enqueued(spark, sf_dir):
 
 
 def sanitised(entries: Column) -> Column:
-    """array<struct<key,kind,value>> of the first 40 entries: keys cut to 80, sensitive ones blanked, strings redacted and cut to 500."""
+    """array<struct<key,kind,value,items>> of the first 40 entries: keys cut to 80, sensitive ones blanked, strings redacted
+    and cut to 500, lists (items) to 20 entries redacted and cut to 120."""
     def safe(x: Column) -> Column:
         key = F.substring(x["key"], 1, 80)
-        value = F.when(key.rlike(SENSITIVE), "[REDACTED]").when(x["kind"] == "string", F.substring(redacted(x["value"]), 1, 500)).otherwise(x["value"])
-        return F.struct(key.alias("key"), x["kind"].alias("kind"), value.alias("value"))
+        blank = key.rlike(SENSITIVE)
+        value = F.when(blank, "[REDACTED]").when(x["kind"] == "string", F.substring(redacted(x["value"]), 1, 500)).otherwise(x["value"])
+        items = F.when(~blank, F.transform(F.slice(x["items"], 1, 20), lambda i: F.substring(redacted(i), 1, 120)))
+        return F.struct(key.alias("key"), x["kind"].alias("kind"), value.alias("value"), items.alias("items"))
 
     return F.transform(F.slice(entries, 1, 40), safe)
 
 
 def gv2_metadata(spark, sf_dir):
     """Audit metadata of each event: a sensitive key, a number of twelve digits, and a string with a mail address."""
-    entry = lambda k, kind, v: F.struct(F.lit(k).alias("key"), F.lit(kind).alias("kind"), v.alias("value"))
+    entry = lambda k, kind, v: F.struct(F.lit(k).alias("key"), F.lit(kind).alias("kind"), v.alias("value"), F.lit(None).cast("array<string>").alias("items"))
     n = F.col("event_id").cast("string")
     count = F.concat(F.lit("1234567890"), F.lpad((F.col("event_id") % 100).cast("string"), 2, "0"))
     note = F.concat(F.lit("mail u"), n, F.lit("@example.com "), F.repeat(F.lit("x"), 600))

@@ -1,11 +1,14 @@
-"""Original files: loading with hash and size, format detection, decoding, e-mail and CSV."""
+"""Original files: loading with hash and size, format detection, upload checks, decoding, e-mail and CSV."""
 
 from __future__ import annotations
 
+import codecs
 import csv
 import email
 import email.policy
 import io
+import re
+import zipfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,23 +18,130 @@ from pyspark.sql import types as T
 MOST_BYTES = 50 * 1024 * 1024
 
 
-def load_originals(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataFrame:
-    """path, size, sha256, content, accepted: files as they are; larger ones are marked, not read on."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return raw.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), "content", (F.col("length") <= most).alias("accepted"))
+#: Bounds of zip archives.
+MOST_ENTRIES, MOST_EXPANDED = 10_000, 250 * 1024 * 1024
+#: Suffixes and declared media types that agree with each kind of upload.
+SUFFIXES = {"pdf": ["pdf"], "docx": ["docx"], "xlsx": ["xlsx"], "xls": ["xls"], "png": ["png"], "jpeg": ["jpg", "jpeg"], "tiff": ["tif", "tiff"], "csv": ["csv"], "email": ["eml"], "rtf": ["rtf"], "text": ["txt", "md"]}
+OFFICE = "application/vnd.openxmlformats-officedocument."
+MEDIA_TYPES = {
+    "pdf": ["application/pdf"], "docx": [OFFICE + "wordprocessingml.document"], "xlsx": [OFFICE + "spreadsheetml.sheet"], "xls": ["application/vnd.ms-excel"], "png": ["image/png"], "jpeg": ["image/jpeg", "image/jpg"],
+    "tiff": ["image/tiff"], "csv": ["text/csv", "application/csv", "text/plain"], "email": ["message/rfc822", "text/plain"], "rtf": ["application/rtf", "text/rtf", "text/plain"], "text": ["text/plain", "text/markdown"],
+}
+GENERIC = ["", "application/octet-stream", "binary/octet-stream"]
 
 
-def detected_format(content: Column, name: Column) -> Column:
-    """By first bytes, then by suffix."""
-    starts = lambda h: F.hex(F.substring(content, 1, len(h) // 2)) == h
-    suffix = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
+def load_originals(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataFrame:
+    """path, size, sha256, content, accepted: files as they are. Larger ones are listed by name and size alone, as the
+    bound is put to the scan before any content is read."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    own = raw.filter(F.col("length") <= most).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), "content", F.lit(True).alias("accepted"))
+    large = raw.filter(F.col("length") > most).select("path", F.col("length").alias("size"), F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("binary").alias("content"), F.lit(False).alias("accepted"))
+    return own.unionByName(large)
+
+
+def _starts(content: Column, *heads: str) -> Column:
+    out = F.lit(False)
+    for h in heads:
+        out = out | (F.hex(F.substring(content, 1, len(h) // 2)) == h)
+    return out
+
+
+@F.pandas_udf(T.StructType().add("names", T.ArrayType(T.StringType())).add("problem", "string"))
+def _members(content: pd.Series) -> pd.DataFrame:
+    """The member names of a zip archive, or what is wrong with it."""
+
+    def one(b) -> tuple[list[str], str | None]:
+        try:
+            with zipfile.ZipFile(io.BytesIO(bytes(b or b""))) as z:
+                found = z.infolist()
+        except zipfile.BadZipFile:
+            return [], "corrupted"
+        if len(found) > MOST_ENTRIES:
+            return [], "entries"
+        return ([], "expansion") if sum(max(0, x.file_size) for x in found) > MOST_EXPANDED else ([x.filename for x in found], None)
+
+    return pd.DataFrame([one(b) for b in content], columns=["names", "problem"])
+
+
+def detected_format(content: Column, name: Column, declared: Column | None = None) -> Column:
+    """By first bytes (zip archives by their members), then by suffix, then by declared type; a damaged or oversized
+    archive is invalid, anything else unknown."""
+    suffix = F.lower(F.regexp_extract(name, r"(\.[^./\\]*)$", 1))
+    declared = F.lower(F.coalesce(declared, F.lit(""))) if declared is not None else F.lit("")
+    zipped = _starts(content, "504B0304")
+    members = _members(F.when(zipped, content))
+    holds = lambda folder: F.exists(members["names"], lambda n: n.startswith(folder))
+    office = F.when(members["problem"].isNotNull(), "invalid").when(holds("word/"), "docx").when(holds("xl/"), "spreadsheet").otherwise("unknown")
     return (
-        F.when(starts("25504446"), "pdf").when(starts("89504E470D0A1A0A") | starts("FFD8FF") | starts("49492A00") | starts("4D4D002A"), "image")
-        .when(starts("504B0304"), F.when(suffix == "xlsx", "xlsx").otherwise("docx")).when(starts("D0CF11E0"), "xls")
-        .when(suffix.isin("csv", "eml", "txt"), suffix).otherwise("unsupported")
+        F.when(_starts(content, "255044462D"), "pdf").when(zipped, office).when(_starts(content, "89504E470D0A1A0A", "FFD8FF", "49492A00", "4D4D002A"), "image")
+        .when((suffix == ".csv") | (declared == "text/csv"), "csv").when(suffix.isin(".txt", ".md", ".rtf") | declared.startswith("text/plain"), "text")
+        .when((suffix == ".eml") | (declared == "message/rfc822"), "email").when(suffix.isin(".xls", ".xlsx"), "spreadsheet")
+        .when(suffix.isin(".jpg", ".jpeg", ".png", ".tif", ".tiff") | declared.startswith("image/"), "image").otherwise("unknown")
     )
 
 
+def text_kind(sample: bytes) -> str | None:
+    """rtf, email, csv or text, by what the first bytes of a file read like; None if they are no text."""
+    if not sample or (b"\0" in sample[:4096] and not sample.startswith((codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE))):
+        return None
+    text = ""
+    for name in ("utf-8-sig", "utf-16", "latin-1"):
+        try:
+            text = sample.decode(name)
+            break
+        except UnicodeError:
+            continue
+    if not text.strip() or sum(c.isprintable() or c in "\r\n\t" for c in text) < 0.95 * len(text):
+        return None
+    if text.lstrip().startswith("{\\rtf"):
+        return "rtf"
+    heads = {h.casefold() for h in re.findall(r"(?im)^(from|to|subject|date|message-id):\s*.+$", text[:4096])}
+    if "message-id" in heads or len(heads) > 1:
+        return "email"
+    start = text[:8192]
+    try:
+        rows = list(csv.reader(io.StringIO(start), csv.Sniffer().sniff(start, delimiters=",;\t|")))[:5]
+    except csv.Error:
+        rows = []
+    return "csv" if len(rows) > 1 and min(map(len, rows)) > 1 else "text"
+
+
+@F.pandas_udf(T.StringType())
+def _text_kind(sample: pd.Series) -> pd.Series:
+    return sample.map(lambda b: None if b is None else text_kind(bytes(b)))
+
+
+def validated(content: Column, name: Column, declared: Column) -> Column:
+    """struct<kind,reason> of an upload: its kind by first bytes and content, or why it is refused: empty, an executable
+    or archive, no known type, or a suffix or declared type that disagrees."""
+    zipped = _starts(content, "504B0304")
+    binary = F.when(_starts(content, "255044462D"), "pdf").when(_starts(content, "89504E470D0A1A0A"), "png").when(_starts(content, "FFD8FF"), "jpeg").when(_starts(content, "49492A00", "4D4D002A"), "tiff").when(_starts(content, "D0CF11E0A1B11AE1"), "xls")
+    refused = _starts(content, "4D5A", "7F454C46", "526172211A07", "377ABCAF271C", "1F8B")
+    size = F.coalesce(F.octet_length(content), F.lit(0))
+    plain = ~zipped & binary.isNull() & ~refused
+    members, text = _members(F.when(zipped, content)), _text_kind(F.when(plain & (size > 0), F.substring(content, 1, 65536)))
+    has = lambda n: F.array_contains(members["names"], n)
+    office = F.when(members["problem"].isNull() & has("[Content_Types].xml"), F.when(has("word/document.xml"), "docx").when(has("xl/workbook.xml"), "xlsx"))
+    kind = F.when(size > 0, F.when(zipped, office).otherwise(F.coalesce(binary, F.when(plain, text))))
+    #: The reasons.
+    problem = (
+        F.when(size == 0, "The uploaded file is empty.")
+        .when(zipped & (members["problem"] == "corrupted"), "Office document container is corrupted.")
+        .when(zipped & (members["problem"] == "entries"), "Office archive contains too many entries.")
+        .when(zipped & (members["problem"] == "expansion"), "Office archive exceeds expansion limits.")
+        .when(zipped & ~has("[Content_Types].xml"), "ZIP upload is not a supported Office document.")
+        .when(zipped & kind.isNull(), "ZIP upload is not a supported DOCX or XLSX file.")
+        .when(refused, "Executable or archive uploads are not allowed.")
+        .when(kind.isNull(), "File signature is not a supported document type.")
+    )
+    fits = lambda table, value: F.array_contains(F.element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), kind), value)
+    suffix = F.lower(F.regexp_extract(name, r"[^./\\]\.([^./\\]+)$", 1))
+    media = F.lower(F.trim(F.element_at(F.split(F.coalesce(declared, F.lit("")), ";"), 1)))
+    problem = problem.when((suffix != "") & ~fits(SUFFIXES, suffix), F.concat(F.lit("File extension ."), suffix, F.lit(" does not match detected "), kind, F.lit(" content.")))
+    problem = problem.when(~media.isin(*GENERIC) & ~fits(MEDIA_TYPES, media), "Declared MIME type does not match the uploaded file signature.")
+    return F.struct(F.when(problem.isNull(), kind).alias("kind"), problem.alias("reason"))
+
+
 @F.pandas_udf(T.StringType())
 def decoded(content: pd.Series) -> pd.Series:
     """Text by the first of UTF-8 (with or without mark), UTF-16 and Windows-1252 that fits."""

@@ -28,7 +28,7 @@ def plain(v):
     return str(v)
 
 
-SQL = records.SQL | search_plans.SQL | governance.SQL | complaints.SQL | reports.SQL | filing.SQL | registry.SQL
+SQL = {name: sql for plan in entry.PLANS for name, sql in plan.SQL.items()}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
