@@ -31,9 +31,3 @@ def outside_tables(blocks: DataFrame, tables: DataFrame, share: float = 0.55) ->
     area = F.greatest((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), F.lit(1e-9))
     covered = blocks.join(t, ["version_id", "page_number"]).filter(width * height / area >= share).select("version_id", "page_number", "block_num").distinct()
     return blocks.join(covered, ["version_id", "page_number", "block_num"], "left_anti")
-
-
-def page_status(pages: DataFrame, cut: float = 0.60) -> DataFrame:
-    """One status a version: no usable page, some page missing, failed or low, or ready."""
-    p = pages.groupBy("version_id").agg(F.count_if((F.col("block_count") > 0) & ~F.col("failed")).alias("usable"), F.count_if((F.col("block_count") == 0) | F.col("failed") | (F.col("confidence") < cut)).alias("poor"))
-    return p.select("version_id", F.when(F.col("usable") == 0, "ocr_required").when(F.col("poor") > 0, "partial").otherwise("ready").alias("status"))

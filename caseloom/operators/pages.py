@@ -30,7 +30,7 @@ def normalised(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     text = F.when(text.rlike(r"[^\x00-\x7F]"), _compatible(text)).otherwise(text)
     text = F.regexp_replace(F.regexp_replace(F.replace(text, F.lit("\0"), F.lit("")), "\r\n?", "\n"), r"[\t\f\x0B ]+", " ")
-    text = F.regexp_replace(text, r"(?m)^[\s&&[^\n]\p{Z}\x1C-\x1F\x85]+|[\s&&[^\n]\p{Z}\x1C-\x1F\x85]+$", "")
+    text = F.regexp_replace(text, r"(?md)^[[\s\p{Z}\x1C-\x1F\x85]&&[^\n]]+|[[\s\p{Z}\x1C-\x1F\x85]&&[^\n]]+$", "")
     return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"\A\n+|\n+\z", "")
 
 

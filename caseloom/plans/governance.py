@@ -87,7 +87,11 @@ def gv1_redacted(spark, sf_dir):
     """Audit lines with tokens, tax ids, national ids, phones and e-mails taken out, in this order."""
     e = table(spark, sf_dir, "events")
     digits = F.lpad((F.col("event_id") % 1000000000).cast("string"), 9, "0")
-    line = F.concat(F.lit("Bearer abc."), F.col("event_id").cast("string"), F.lit(" pan ABCDE1234F id 1234 5678 9012 tel +91 9"), digits, F.lit(" mail user"), F.col("user_id").cast("string"), F.lit("@Example.com did "), "event_type")
+    n = F.col("event_id")
+    line = F.concat(
+        F.when(n % 3 == 0, "bearer  abc.").when(n % 3 == 1, "Bearer abc.").otherwise("Basic abc."), n.cast("string"), F.when(n % 4 == 0, " pan ABCDE12345").otherwise(" pan ABCDE1234F"), F.when(n % 5 == 0, " id 1234-5678-9012").when(n % 5 == 1, " id 1234 5678 901").otherwise(" id 123456789012"),
+        F.when(n % 7 == 0, " tel 5").otherwise(" tel +91 9"), digits, F.when(n % 2 == 0, " mail user").otherwise(" mail @user"), F.col("user_id").cast("string"), F.lit("@Example.com did "), "event_type",
+    )
     return e.select("event_id", redacted(line).alias("line"))
 
 
@@ -284,9 +288,15 @@ def qa2_metrics(spark, sf_dir):
 def qa5_latency(spark, sf_dir):
     """Least, mean, percentiles (the element at floor((n - 1) * f)) and most of the values of each kind of event."""
     e = table(spark, sf_dir, "events").filter("value is not null")
-    r = e.select("event_type", "value", F.row_number().over(Window.partitionBy("event_type").orderBy("value")).alias("i"), F.count("*").over(Window.partitionBy("event_type")).alias("n"))
-    at = lambda f: F.max(F.when(F.col("i") == F.floor((F.col("n") - 1) * f) + 1, F.col("value")))
-    return r.groupBy("event_type").agg(F.min("value").alias("least"), F.round(F.avg("value"), 6).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("value").alias("most"))
+    # ranges of values over all tasks; ranks count on over one row a range and kind
+    counts = e.groupBy("event_type", "value").agg(F.count("*").alias("k"))
+    parts = stored(counts.repartitionByRange("event_type", "value").withColumn("part", F.spark_partition_id()), "values")
+    of_kind = Window.partitionBy("event_type")
+    before = of_kind.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.groupBy("event_type", "part").agg(F.sum("k").alias("sum")).select("event_type", "part", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("before"), F.sum("sum").over(of_kind).alias("n"))
+    r = parts.join(small(sums), ["event_type", "part"]).withColumn("last", F.col("before") + F.sum("k").over(Window.partitionBy("event_type", "part").orderBy("value")))
+    at = lambda f: F.max(F.when((F.floor((F.col("n") - 1) * f) + 1).between(F.col("last") - F.col("k") + 1, F.col("last")), F.col("value")))
+    return r.groupBy("event_type").agg(F.min("value").alias("least"), F.round(F.sum(F.col("value") * F.col("k")) / F.max("n"), 6).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("value").alias("most"))
 
 
 QUERIES = {f.__name__: f for f in (src9_versions, src12_latest, src11_incremental, blk8_headings, blk15_fingerprints, blk16_titles, rs1_allowed_urls, gv1_redacted, gv3_rate_windows, gv4_quota, gv5_audit, jb1_keys, jb3_sequences, jb4_state, jb5_after, jb6_retries, jb7_leases, an1_case_list, an2_recent, an3_buckets, an4_week, an8_followups, rv3_workspace, qa1_fragments, qa1_passages, qa2_metrics, qa5_latency)}
@@ -307,7 +317,17 @@ WHERE len(regexp_extract_all(text, '[^\s]+')) <= 14 AND len(regexp_extract_all(t
     "blk15_fingerprints": "SELECT source, sha256(concat_ws('|', lang, text)) AS fingerprint, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY ALL HAVING count(*) > 1",
     "blk16_titles": r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS title FROM pages""",
     "rs1_allowed_urls": r"""SELECT page_id, CASE WHEN regexp_matches(url, '^https://([^/?#@]+\.)?example\.(com|org)/[a-z]{2}/[0-9]+/?$') THEN 'true' ELSE 'false' END AS allowed FROM pages""",
-    "gv1_redacted": "SELECT event_id, 'Bearer [REDACTED] pan [REDACTED-PAN] id [REDACTED-ID] tel [REDACTED-PHONE] mail [REDACTED-EMAIL] did ' || event_type AS line FROM events",
+    "gv1_redacted": r"""
+WITH l AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'bearer  abc.' WHEN 1 THEN 'Bearer abc.' ELSE 'Basic abc.' END || event_id || CASE WHEN event_id % 4 = 0 THEN ' pan ABCDE12345' ELSE ' pan ABCDE1234F' END || CASE event_id % 5 WHEN 0 THEN ' id 1234-5678-9012' WHEN 1 THEN ' id 1234 5678 901' ELSE ' id 123456789012' END
+  || CASE WHEN event_id % 7 = 0 THEN ' tel 5' ELSE ' tel +91 9' END || lpad(CAST(event_id % 1000000000 AS VARCHAR), 9, '0') || CASE WHEN event_id % 2 = 0 THEN ' mail user' ELSE ' mail @user' END || user_id || '@Example.com did ' || event_type AS t FROM events),
+r AS (SELECT event_id, regexp_replace(regexp_replace(regexp_replace(t, '(?i)bearer\s+[A-Za-z0-9._~+/=-]+', 'Bearer [REDACTED]', 'g'), '\b[A-Z]{5}[0-9]{4}[A-Z]\b', '[REDACTED-PAN]', 'g'), '\b\d{4}[ -]?\d{4}[ -]?\d{4}\b', '[REDACTED-ID]', 'g') AS t FROM l)
+SELECT event_id, regexp_replace(regexp_replace(t, '(^|[^0-9])(\+91[ -]?)?[6-9]\d{9}($|[^0-9])', '\1[REDACTED-PHONE]\3', 'g'), '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b', '[REDACTED-EMAIL]', 'g') AS line FROM r""",
+    "gv4_quota": """
+WITH RECURSIVE l AS (SELECT l_suppkey AS user_id, strftime(l_shipdate, '%Y-%m') AS month, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(round(l_extendedprice) AS BIGINT) AS bytes FROM lineitem),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id, month ORDER BY l_orderkey, l_linenumber, bytes) AS i FROM l),
+r AS (SELECT *, bytes <= 150000 AS accepted, CASE WHEN bytes <= 150000 THEN bytes ELSE 0 END AS used FROM n WHERE i = 1
+  UNION ALL SELECT n.*, r.used + n.bytes <= 150000, CASE WHEN r.used + n.bytes <= 150000 THEN r.used + n.bytes ELSE r.used END FROM r JOIN n ON n.user_id = r.user_id AND n.month = r.month AND n.i = r.i + 1)
+SELECT user_id, month, l_orderkey, l_linenumber, bytes, accepted FROM r""",
     "gv3_rate_windows": """SELECT event_id, user_id, bucket, window_start, n, CASE WHEN n <= 2 THEN 'true' ELSE 'false' END AS allowed, greatest(2 - n, 0) AS remaining, window_start + 86400 - s AS retry_after
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id, bucket, window_start ORDER BY ts, event_id) AS n FROM (SELECT event_id, user_id, event_type AS bucket, ts, CAST(floor(epoch(ts)) AS BIGINT) AS s, CAST(floor(floor(epoch(ts)) / 86400) * 86400 AS BIGINT) AS window_start FROM events))""",
     "gv5_audit": "SELECT user_id, rank, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events) WHERE rank <= 5",

@@ -217,12 +217,13 @@ def rv5_delays(spark, sf_dir):
     return versions.join(reviews, "case_id", "left").select("case_id", F.coalesce(F.nullif(found, F.lit("")), F.lit("No document-processing blocker is seen. Ask counsel about court scheduling or procedural delay.")).alias("reasons"))
 
 
+_ALLOWED = f"regexp_matches(trim(source_url), '{LEGAL_URL}')"
 _RESULTS = """
 results AS (
   SELECT page_id, CAST(page_id % 100 + 1 AS VARCHAR) AS case_id,
     CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN 'https://indiankanoon.org/search/?q=' || page_id WHEN 2 THEN 'https://www.indiankanoon.org/doc/' || page_id ELSE 'https://indiankanoon.org/doc/' || page_id || '/' END AS source_url,
     CASE WHEN page_id % 6 = 5 THEN '' ELSE 'State v. ' || page_id END AS title, CASE WHEN page_id % 4 = 3 THEN '' ELSE 'Passage ' || page_id END AS excerpt, CASE WHEN page_id % 3 = 0 THEN '' ELSE 'AIR ' || page_id END AS citation FROM pages),
-found0 AS (SELECT *, 'research_' || substr(sha256(source_url || ':' || title || ':' || excerpt), 1, 24) AS research_id FROM results WHERE page_id % 5 > 1),
+found0 AS (SELECT *, 'research_' || substr(sha256(source_url || ':' || title || ':' || excerpt), 1, 24) AS research_id FROM results WHERE """ + _ALLOWED + """),
 finding AS (SELECT page_id, case_id, research_id, source_url, CASE title WHEN '' THEN 'IndianKanoon result' ELSE title END AS title, CASE excerpt WHEN '' THEN 'Open the cited judgment to review the relevant passage.' ELSE excerpt END AS excerpt, citation FROM found0),
 law AS (SELECT page_id, case_id, 'claim_' || substr(sha256(case_id || ':' || research_id), 1, 24) AS claim_id, research_id, title || ': ' || excerpt AS statement, 0.75::DOUBLE AS confidence,
   'External authority must be checked in full before reliance.' AS caveat, 'cite_' || substr(sha256(research_id), 1, 24) AS citation_id, coalesce(nullif(citation, ''), title) AS citation_label, source_url FROM finding)
@@ -248,7 +249,7 @@ QUERIES = {f.__name__: f for f in (rs2_findings, rs2_excluded, rs3_query, rpt3_r
 SQL = {
     "rs2_findings": "WITH " + _RESULTS + "SELECT case_id, research_id, source_url, title, excerpt, citation FROM finding",
     "rs2_excluded": "WITH " + _RESULTS + """SELECT case_id, kept, excluded, concat_ws(' ', CASE WHEN excluded > 0 THEN CAST(excluded AS VARCHAR) || ' research result(s) were excluded because no verifiable source URL was returned.' END,
-  CASE WHEN kept = 0 THEN 'No citable result was returned for the extracted record.' END) AS warning FROM (SELECT case_id, count(*) FILTER (WHERE page_id % 5 > 1) AS kept, count(*) FILTER (WHERE page_id % 5 <= 1) AS excluded FROM results GROUP BY case_id)""",
+  CASE WHEN kept = 0 THEN 'No citable result was returned for the extracted record.' END) AS warning FROM (SELECT case_id, count(*) FILTER (WHERE """ + _ALLOWED + """) AS kept, count(*) FILTER (WHERE NOT """ + _ALLOWED + """) AS excluded FROM results GROUP BY case_id)""",
     "rs3_query": records._ATOMS + """,
 marked AS (SELECT *, kind IN ('legal_provision','case_number','court','authority','document_reference') AS leads, row_number() OVER (PARTITION BY case_id, kind IN ('legal_provision','case_number','court','authority','document_reference') ORDER BY rank) AS r FROM atoms),
 leading_values AS (SELECT case_id, string_agg(value, ' ' ORDER BY pos) AS q FROM (SELECT case_id, value, min(rank) AS pos FROM marked WHERE leads AND r <= 12 GROUP BY ALL) GROUP BY case_id),

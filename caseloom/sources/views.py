@@ -26,20 +26,49 @@ def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet into the session's spark.checkpoint.dir and read back, for plans that use it in many places."""
-    spark = df.sparkSession
+def require_one_case(df: DataFrame, key: str = "case_id") -> DataFrame:
+    """df, for callers that may only be given one case: an error if its rows are of several."""
+    if len(df.select(key).distinct().head(2)) > 1:
+        raise ValueError("the rows must belong to one case")
+    return df
+
+
+_written: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the session's spark.checkpoint.dir.
+
+    Where it is unset (tests in local mode) a folder of this machine is set for the session.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not (spark.sparkContext.master or "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="caseloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once as Parquet into the shared folder and read back, which cuts its lineage, for plans that use it in
+    many places or must survive lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_stored(spark: SparkSession) -> int:
+    """Delete the tables that this process has stored, once no DataFrame made from them is needed; how many they were."""
+    n = 0
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def record_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three text blocks for each order, as a case record of its customer."""
     orders, customers, nations, regions = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))

@@ -1,7 +1,10 @@
 """Examples for the case-record operators, and every registered query against its SQL on small tables."""
 
+import io
 import re
 import threading
+import unicodedata
+import zipfile
 
 import duckdb
 import pytest
@@ -9,11 +12,12 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from caseloom.functions.text import folded, name_uuid, spans
-from caseloom.operators import answers, blocks, evidence, search, triage
+from caseloom.operators import answers, blocks, evidence, pages, search, triage
 from caseloom.operators import filing as filing_ops
 from caseloom.plans import complaints, filing, governance, records, registry, reports
 from caseloom.plans import search as search_plans
 from caseloom.sources import files
+from caseloom.sources.views import require_one_case
 from caseloom.streaming import events
 
 SF = "/root/testdata/sf0.001"
@@ -87,8 +91,62 @@ def test_ocr_blocks_and_tables(spark):
     assert (r.text, r.confidence, r.x0, r.x1) == ("hello world", 0.85, 0.0, 35.0)
     t = spark.createDataFrame([("v", 1, 0.0, 0.0, 35.0, 5.0)], "version_id string, page_number int, x0 double, y0 double, x1 double, y1 double")
     assert blocks.outside_tables(b, t).count() == 0 and blocks.outside_tables(b, t.withColumn("x1", F.lit(10.0))).count() == 1
-    pages = spark.createDataFrame([("a", 1, False, 0.9), ("b", 0, False, 0.0), ("c", 1, False, 0.9), ("c", 1, True, 0.9)], "version_id string, block_count int, failed boolean, confidence double")
-    assert {r.version_id: r.status for r in blocks.page_status(pages).collect()} == {"a": "ready", "b": "ocr_required", "c": "partial"}
+    rows = [("a", 1, "digital", 0.9, 1, False, []), ("b", 1, "none", 0.0, 0, False, ["x"]), ("b", 2, "none", 0.0, 0, True, ["y", "z"]), ("c", 1, "ocr", 0.9, 1, False, []), ("c", 2, "mixed", 0.9, 1, True, ["w"]), ("d", 1, "ocr", 0.62, 1, False, [])]
+    p = spark.createDataFrame(rows, "version_id string, page_number int, method string, confidence double, block_count int, failed boolean, warnings array<string>")
+    report = {r.version_id: r for r in pages.page_report(p).collect()}
+    assert {k: r.status for k, r in report.items()} == {"a": "ready", "b": "ocr_required", "c": "partial", "d": "ready"}
+    assert (report["b"].missing_pages, report["b"].warnings, report["c"].mixed_pages) == ("1,2", "Page 1: x|Page 2: y|Page 2: z", 1)
+    assert {r.version_id: r.status for r in pages.page_report(p, pages.LOW_IMAGE).collect()}["d"] == "partial"
+
+
+def test_text_quality(spark):
+    """Normal text is good, noise is not; U+FFFD can be printed, but counts as replaced."""
+    texts = ["In the High Court of Judicature at Patna, between the petitioner and the respondent State\nThe petitioner states that the impugned order was passed on 12 March 2024.\nIt is prayed that this court may set it aside.", "@@@@@ #### ????? \ufffd\ufffd\ufffd", "A\0  B\r\n\r\n C", "\u00a0ﬁ\u2003x\n\n\n\ny\x85", None, "a\u200bb\x07"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", pages.normalised(F.col("t")).alias("t")).select("i", "t", pages.quality(F.col("t")).alias("q"))
+    got = {r.i: r for r in df.collect()}
+    assert got[0].q.score >= 0.75 and got[1].q.score < 0.55 and got[2].t == "A B\n\nC" and got[3].t == "fi x\n\ny" and got[4].q.score == 0
+
+    def brute(t):
+        chars = [c for c in t if not c.isspace()]
+        n = len(chars)
+        if not n:
+            return 0.0
+        bad = sum(c == "\ufffd" or unicodedata.category(c) == "Cc" for c in chars) / n
+        noise = min(0.55, bad * 2.5 + len(re.findall(r"[^\w\s]{5,}", t)) * 0.08)
+        parts = 0.30 * min(n / 80, 1) + 0.25 * sum(c.isprintable() for c in chars) / n + 0.20 * min(sum(c.isalnum() for c in chars) / n / 0.45, 1) + 0.15 * min(len(re.findall(r"\w+", t)) / 12, 1)
+        return max(0.0, min(1.0, round(parts + 0.10 * min(max(1, len([x for x in t.splitlines() if x.strip()])) / 5, 1) - noise, 4)))
+
+    for r in got.values():
+        assert r.q.score == pytest.approx(brute(r.t), abs=1e-4), r
+
+
+def test_formats_and_uploads(spark):
+    def zipped(*names):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for n in names:
+                z.writestr(n, "x")
+        return out.getvalue()
+
+    pdf, mail = b"%PDF-1.7", b"From: a@b.c\nSubject: x\n\nhello"
+    rows = [
+        (pdf, "a.pdf", "application/pdf", "pdf", "pdf", None), (zipped("[Content_Types].xml", "word/document.xml"), "a.docx", "", "docx", "docx", None), (zipped("[Content_Types].xml", "xl/workbook.xml"), "a.xlsx", "", "spreadsheet", "xlsx", None),
+        (zipped("readme"), "a.docx", "", "unknown", None, "ZIP upload is not a supported Office document."), (zipped("[Content_Types].xml"), "a.docx", "", "unknown", None, "ZIP upload is not a supported DOCX or XLSX file."),
+        (b"PK\x03\x04junk", "a.docx", "", "invalid", None, "Office document container is corrupted."), (b"MZ", "a.exe", "", "unknown", None, "Executable or archive uploads are not allowed."), (b"", "a.txt", "", "text", None, "The uploaded file is empty."),
+        (mail, "m.eml", "message/rfc822; x=1", "email", "email", None), (b"a,b\n1,2\n3,4\n", "t.csv", "text/csv", "csv", "csv", None), (b"{\\rtf1 x}", "t.rtf", "", "text", "rtf", None), (b"plain words", "t.md", "", "text", "text", None),
+        (b"\x00\x01\x02", "t.bin", "", "unknown", None, "File signature is not a supported document type."), (pdf, "a.txt", "", "pdf", None, "File extension .txt does not match detected pdf content."), (pdf, "a.pdf", "text/plain", "pdf", None, "Declared MIME type does not match the uploaded file signature."),
+        (b"\xff\xd8\xff", "noname", "image/png", "image", None, "Declared MIME type does not match the uploaded file signature."), (b"words", "x", "text/plain", "text", "text", None), (None, None, None, "unknown", None, "The uploaded file is empty."),
+    ]
+    df = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(rows)], "i int, content binary, name string, declared string")
+    for r in df.select("i", files.detected_format(F.col("content"), F.col("name"), F.col("declared")).alias("f"), files.validated(F.col("content"), F.coalesce("name", F.lit("")), F.col("declared")).alias("v")).collect():
+        assert (r.f, r.v.kind, r.v.reason) == rows[r.i][3:], rows[r.i]
+
+
+def test_one_case(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2)], "case_id string, n int")
+    assert require_one_case(df) is df and require_one_case(df.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="one case"):
+        require_one_case(df.union(spark.createDataFrame([("b", 1)], df.schema)))
 
 
 def test_files(spark, tmp_path):
@@ -98,7 +156,9 @@ def test_files(spark, tmp_path):
     (tmp_path / "d.bin").write_bytes(b"%PDF-1.7")
     df = files.load_originals(spark, f"file://{tmp_path}").withColumn("kind", files.detected_format(F.col("content"), F.col("path"))).withColumn("text", files.decoded("content"))
     got = {r.path[-5]: r for r in df.withColumn("table", files.table_text(files.csv_rows("text"))).withColumn("mail", files.email_parts("content")).collect()}
-    assert {k: r.kind for k, r in got.items()} == {"a": "txt", "b": "csv", "c": "eml", "d": "pdf"}
+    assert {k: r.kind for k, r in got.items()} == {"a": "text", "b": "csv", "c": "email", "d": "pdf"}
+    large = {r.path[-5]: r for r in files.load_originals(spark, f"file://{tmp_path}", 9).collect()}
+    assert [(k, r.accepted, r.content is None, r.size > 9) for k, r in sorted(large.items())] == [("a", True, False, False), ("b", False, True, True), ("c", False, True, True), ("d", True, False, False)]
     assert got["a"].text == "é" and got["b"].table == "x | y z\n1" and got["c"].mail.header == "From: a@b.c\nSubject: Hi" and got["c"].mail.body.strip() == "body"
 
 
