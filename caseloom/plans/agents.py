@@ -266,7 +266,14 @@ def tr7_languages(spark, sf_dir):
     return c.select("complaint_id", "declared", F.when(F.col("declared") != "en", F.col("declared")).when(n > 5, "hi").when(n > 0, "hinglish").otherwise("en").alias("language"))
 
 
-QUERIES = {f.__name__: f for f in (sr11_roles, sr12_traces, tr9_routes, rs4_provisions, jb8_stages, an5_runs, rpt13_history, rpt14_trace, gv2_lists, gv5_outcomes, qa3_gates, qa4_checksums, tr7_languages)}
+def tr2_turns(spark, sf_dir):
+    """What users say in conversations, judged as complaints."""
+    c = spread(table(spark, sf_dir, "conversations").filter("role = 'user'"))
+    c = triage.classified(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("complaint_id"), F.coalesce("text", F.lit("")).alias("text")))
+    return c.select("complaint_id", F.length(triage.translated(F.col("text"))).cast("long").alias("characters"), "case_type", F.col("score").cast("long").alias("score"), "confidence", "authority", "section", "language")
+
+
+QUERIES = {f.__name__: f for f in (tr2_turns, sr11_roles, sr12_traces, tr9_routes, rs4_provisions, jb8_stages, an5_runs, rpt13_history, rpt14_trace, gv2_lists, gv5_outcomes, qa3_gates, qa4_checksums, tr7_languages)}
 
 
 def _sql() -> dict[str, str]:
@@ -290,7 +297,9 @@ m AS (SELECT *, CASE sources WHEN 0 THEN '' WHEN 1 THEN '[1]' WHEN 2 THEN '[1][2
     typed = "WITH c0 AS (" + classified + "), c AS (SELECT complaint_id, CASE WHEN complaint_id % 10 <= 8 THEN [" + ", ".join(q(r[0]) for r in ROUTES) + ", 'wage_theft'][complaint_id % 10 + 1] ELSE case_type END AS case_type FROM c0) "
     lookup = lambda rows, names: typed + "SELECT complaint_id, c.case_type, " + ", ".join(f"coalesce(k.{n}, {q(v)}) AS {n}" for n, v in zip(names, other(rows)[1:])) + " FROM c LEFT JOIN " + table_of(rows, ["case_type", *names]) + " USING (case_type)"
     gates = ", ".join(f"CASE WHEN {g} < {v}::DOUBLE THEN '{g}' END" for g, v in GATES.items())
+    turns = classified[classified.index("c1 AS"):]
     return {
+        "tr2_turns": "WITH c0 AS (SELECT conv_id * 1000 + turn AS complaint_id, coalesce(text, '') AS text, '' AS name, '' AS day FROM conversations WHERE role = 'user'),\n" + turns[:turns.rindex("SELECT complaint_id, normal")] + "SELECT complaint_id, length(normal) AS characters, case_type, score, confidence, authority, section, language FROM c",
         "sr11_roles": asked + f"SELECT query_id, role, CAST(sources AS INTEGER) AS sources, trim({made}) AS answer FROM m",
         "sr12_traces": asked + "SELECT query_id, concat_ws(chr(10), " + q(CAVEATS[0]) + ", " + q(CAVEATS[1]) + ", CASE WHEN sources = 0 THEN " + q(CAVEATS[2]) + " END, CASE WHEN sources < 2 THEN " + q(CAVEATS[3]) + " END) AS caveats, CASE WHEN sources = 0 THEN " + q("\n".join(ACTIONS["none"])) + " WHEN role = 'judge' THEN " + q("\n".join(ACTIONS["judge"])) + " WHEN role = 'lawyer' THEN " + q("\n".join(ACTIONS["lawyer"])) + " ELSE " + q("\n".join(ACTIONS["other"])) + f" END AS actions, {steps} AS trace FROM m",
         "tr9_routes": lookup(ROUTES, ["authority", "email"]),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom.operators import pages as ops
 from caseloom.operators.blocks import split_blocks
-from caseloom.sources.files import validated
+from caseloom.sources.files import email_blocks, validated
 from caseloom.sources.views import spread, stored, table
 
 LINES_A_PAGE = 3
@@ -153,7 +153,16 @@ def src7_uploads(spark, sf_dir):
     return d.select("doc_id", validated(F.when(F.col("doc_id") % 50 == 49, F.lit(b"")).otherwise(content), name, declared).alias("v")).select("doc_id", "v.kind", "v.reason")
 
 
-QUERIES = {f.__name__: f for f in (blk1_normalised, blk6_quality, src3_documents, blk11_renumbered, blk13_pages, blk14_limits, blk15_differing, src14_nested, blk5_cells, src17_hashes, src7_uploads)}
+def src5_emails(spark, sf_dir):
+    """Each message of a conversation as an e-mail, as blocks: its headers', then its body's."""
+    c = spread(table(spark, sf_dir, "conversations"))
+    head = F.concat(F.lit("From: "), F.coalesce("role", F.lit("none")), F.lit("@example.com\nSubject: Talk "), F.col("conv_id").cast("string"), F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"))
+    version = F.concat_ws("-", "conv_id", "turn", "role")
+    b = email_blocks(c.select(version.alias("version_id"), F.encode(F.concat(head, F.coalesce("text", F.lit(""))), "UTF-8").alias("content")))
+    return b.select("version_id", "sequence", "kind", "block_id", F.length("text").cast("long").alias("characters"))
+
+
+QUERIES = {f.__name__: f for f in (src5_emails, blk1_normalised, blk6_quality, src3_documents, blk11_renumbered, blk13_pages, blk14_limits, blk15_differing, src14_nested, blk5_cells, src17_hashes, src7_uploads)}
 
 _TEXTS = r"""WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN replace(t, ' ', chr(9) || ' ') WHEN 1 THEN replace(t, chr(10), chr(13) || chr(10)) WHEN 2 THEN chr(10) || ' ' || chr(10) || replace(t, chr(10), ' ' || chr(13) || chr(10) || chr(9) || chr(10) || chr(10)) || chr(10) ELSE t END AS text FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
 a AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\t\f\x0B ]+', ' ', 'g') AS t FROM d),
@@ -180,6 +189,11 @@ SELECT *, CASE WHEN score < 0.55 OR characters < 24 THEN 'true' ELSE 'false' END
     "src3_documents": r"""
 WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(CASE WHEN doc_id % 10 = 0 THEN ' ' || chr(10) || chr(10) || ' ' ELSE coalesce(text, '') END, '(\.)\s*\n|\n\s*\n', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS b FROM documents)
 SELECT doc_id, 1 AS page_number, CAST(len(b) AS BIGINT) AS n_blocks, coalesce(length(b[-1]), 0) AS last_characters, CASE WHEN len(b) > 0 THEN 'ready' ELSE 'partial' END AS status FROM p""",
+    "src5_emails": r"""
+WITH p AS (SELECT concat_ws('-', conv_id, turn, role) AS version_id, list_prepend('From: ' || coalesce(role, 'none') || '@example.com' || chr(10) || 'To: ' || chr(10) || 'Cc: ' || chr(10) || 'Date: ' || chr(10) || 'Subject: Talk ' || conv_id,
+  list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '(\.)\s*\n|\n\s*\n', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')) AS b FROM conversations),
+u AS (SELECT version_id, CAST(generate_subscripts(b, 1) - 1 AS BIGINT) AS sequence, unnest(b) AS text FROM p)
+SELECT version_id, sequence, CASE WHEN sequence = 0 THEN 'metadata' ELSE 'paragraph' END AS kind, 'blk_' || substr(sha256(version_id || ':1:' || sequence || ':' || text), 1, 20) AS block_id, length(text) AS characters FROM u""",
     "blk11_renumbered": _BLOCKS + r""", c AS (SELECT version_id, page_number, i, regexp_replace(regexp_replace(regexp_replace(text, '[\t\f\x0B ]+', ' ', 'g'), '^ | $', '', 'g'), '\r', '') AS t FROM b),
 n AS (SELECT *, row_number() OVER (PARTITION BY version_id, page_number ORDER BY i) - 1 AS sequence FROM c),
 k AS (SELECT *, 'blk_' || substr(sha256(version_id || ':' || page_number || ':' || sequence || ':' || t), 1, 20) AS block_id FROM n)

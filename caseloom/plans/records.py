@@ -50,7 +50,8 @@ CLAIMS_PER_CASE = 250
 
 
 def claims(atoms: DataFrame) -> DataFrame:
-    """The first 250 atoms of each case as claims with section, statement, caveat and citation."""
+    """The first 250 atoms of each case as claims with section, statement, caveat and citation. The sentences are fixed
+    values."""
     kind, value = F.col("kind"), F.col("value")
     section = F.lit("facts")
     for k, s in reversed(SECTIONS):
@@ -81,15 +82,18 @@ def rpt5_sections(spark, sf_dir):
 
 
 def caveats(atoms: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Caveats for documents that can't be used in full, unsure evidence, conflicts and evidence beyond the cap."""
+    """Caveats for documents that can't be used in full, unsure evidence, conflicts, evidence beyond the cap, and cases
+    without any. Titles and details are fixed values."""
     versions = blocks.select("case_id", "version_id", "document_name", "status").distinct()
-    status = versions.filter("status <> 'ready'").select("case_id", stable_id("caveat_", "case_id", "version_id", "status").alias("caveat_id"), F.when(F.col("status") == "ocr_required", "blocking").otherwise("warning").alias("severity"), F.lit("Document not fully readable").alias("title"), F.concat("document_name", F.lit(" is "), "status").alias("detail"))
+    status = versions.filter("status <> 'ready'").select("case_id", stable_id("caveat_", "version_id", "status").alias("caveat_id"), F.when(F.col("status").isin("ocr_required", "failed"), "blocking").otherwise("warning").alias("severity"), F.concat(F.lit("Source requires review: "), "document_name").alias("title"), F.concat(F.lit("Parser status is "), "status", F.lit(".")).alias("detail"))
     low = atoms.filter("review_state = 'needs_review'").select("case_id", stable_id("caveat_", "evidence_id", F.lit("low_confidence")).alias("caveat_id"), F.lit("warning").alias("severity"), F.lit("Extraction requires verification").alias("title"), F.concat("label", F.lit(": "), "value", F.lit(" was extracted at "), F.round(F.col("confidence") * 100).cast("int").cast("string"), F.lit("% confidence.")).alias("detail"))
     clash = atoms.filter("kind in ('person', 'case_number')").groupBy("case_id", "kind", F.lower("label").alias("label")).agg(F.countDistinct("normalized").alias("n")).filter("n > 1")
     clash = clash.select("case_id", stable_id("caveat_", "case_id", "kind", "label", F.lit("conflict")).alias("caveat_id"), F.lit("blocking").alias("severity"), F.lit("Conflicting source values").alias("title"), F.concat(F.lit("The sources contain multiple values for "), "label", F.lit(". Human resolution is required.")).alias("detail"))
     many = atoms.groupBy("case_id").agg(F.count("*").alias("n")).filter(F.col("n") > CLAIMS_PER_CASE)
-    many = many.select("case_id", stable_id("caveat_", "case_id", F.lit("additional_evidence")).alias("caveat_id"), F.lit("warning").alias("severity"), F.lit("Additional evidence").alias("title"), F.concat((F.col("n") - CLAIMS_PER_CASE).cast("string"), F.lit(" more of "), F.col("n").cast("string")).alias("detail"))
-    return status.unionByName(low).unionByName(clash).unionByName(many)
+    many = many.select("case_id", stable_id("caveat_", "case_id", F.lit("claim_limit")).alias("caveat_id"), F.lit("info").alias("severity"), F.lit("Additional evidence available").alias("title"), F.concat(F.lit(f"The report summarizes {CLAIMS_PER_CASE} of "), F.col("n").cast("string"), F.lit(" evidence atoms. Search remains available across all sources.")).alias("detail"))
+    none = versions.select("case_id").distinct().join(atoms.select("case_id").distinct(), "case_id", "left_anti")
+    none = none.select("case_id", stable_id("caveat_", "case_id", F.lit("no_evidence")).alias("caveat_id"), F.lit("blocking").alias("severity"), F.lit("No verified evidence extracted").alias("title"), F.lit("The source documents produced no evidence atoms. Review parser output and OCR before relying on this report.").alias("detail"))
+    return status.unionByName(low).unionByName(clash).unionByName(many).unionByName(none)
 
 
 def rpt6_caveats(spark, sf_dir):
@@ -168,10 +172,11 @@ claims AS (
 """
 _CAVEATS = _ATOMS + """,
 caveats AS (
-  SELECT DISTINCT case_id, 'caveat_' || substr(sha256(case_id || ':' || version_id || ':' || status), 1, 24) AS caveat_id, CASE WHEN status = 'ocr_required' THEN 'blocking' ELSE 'warning' END AS severity, 'Document not fully readable' AS title, document_name || ' is ' || status AS detail FROM blocks WHERE status <> 'ready'
+  SELECT DISTINCT case_id, 'caveat_' || substr(sha256(version_id || ':' || status), 1, 24) AS caveat_id, CASE WHEN status IN ('ocr_required', 'failed') THEN 'blocking' ELSE 'warning' END AS severity, 'Source requires review: ' || document_name AS title, 'Parser status is ' || status || '.' AS detail FROM blocks WHERE status <> 'ready'
   UNION ALL SELECT case_id, 'caveat_' || substr(sha256(evidence_id || ':low_confidence'), 1, 24), 'warning', 'Extraction requires verification', label || ': ' || value || ' was extracted at ' || CAST(CAST(round(confidence * 100) AS INTEGER) AS VARCHAR) || '% confidence.' FROM atoms WHERE review_state = 'needs_review'
   UNION ALL SELECT case_id, 'caveat_' || substr(sha256(case_id || ':' || kind || ':' || lower(label) || ':conflict'), 1, 24), 'blocking', 'Conflicting source values', 'The sources contain multiple values for ' || lower(label) || '. Human resolution is required.' FROM atoms WHERE kind IN ('person','case_number') GROUP BY case_id, kind, lower(label) HAVING count(DISTINCT normalized) > 1
-  UNION ALL SELECT case_id, 'caveat_' || substr(sha256(case_id || ':additional_evidence'), 1, 24), 'warning', 'Additional evidence', CAST(count(*) - 250 AS VARCHAR) || ' more of ' || CAST(count(*) AS VARCHAR) FROM atoms GROUP BY case_id HAVING count(*) > 250)
+  UNION ALL SELECT case_id, 'caveat_' || substr(sha256(case_id || ':claim_limit'), 1, 24), 'info', 'Additional evidence available', 'The report summarizes 250 of ' || count(*) || ' evidence atoms. Search remains available across all sources.' FROM atoms GROUP BY case_id HAVING count(*) > 250
+  UNION ALL SELECT case_id, 'caveat_' || substr(sha256(case_id || ':no_evidence'), 1, 24), 'blocking', 'No verified evidence extracted', 'The source documents produced no evidence atoms. Review parser output and OCR before relying on this report.' FROM (SELECT DISTINCT case_id FROM blocks WHERE case_id NOT IN (SELECT case_id FROM atoms)))
 """
 _ISSUES = _ATOMS + """,
 hurt AS (
@@ -184,7 +189,7 @@ checked AS (
 """
 
 REVIEW_SQL = """SELECT case_id, substr(h,1,8) || '-' || substr(h,9,4) || '-5' || substr(h,14,3) || '-' || translate(substr(h,17,1),'0123456789abcdef','89ab89ab89ab89ab') || substr(h,18,3) || '-' || substr(h,21,12) AS review_id, severity, title, detail
-FROM (SELECT *, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(case_id || ':caveat:' || caveat_id)) AS h FROM caveats)"""
+FROM (SELECT *, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(case_id || ':caveat:' || caveat_id)) AS h FROM caveats WHERE severity IN ('warning', 'blocking'))"""
 QUERIES = {f.__name__: f for f in (ev1_occurrences, ev5_atoms, ev9_counts, rel1_edges, rel8_counts, rel6_chronology, rpt1_claims, rpt5_sections, rpt6_caveats, rv1_review_items, int2_span_issues, int9_result)}
 SQL = {
     "ev1_occurrences": _HEAD + 'SELECT case_id, version_id, block_id, kind, label, start, "end", quote, normalized, weight FROM found',

@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caseloom.functions.text import stable_id
+from caseloom.operators.blocks import split_blocks
+
 MOST_BYTES = 50 * 1024 * 1024
 
 
@@ -167,15 +170,25 @@ def csv_rows(text: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StructType().add("header", "string").add("body", "string").add("attachments", "integer"))
 def email_parts(content: pd.Series) -> pd.DataFrame:
-    """The main headers, the plain text and the number of attachments of an e-mail."""
+    """The main headers (empty where there are none), the plain text and the number of attachments of an e-mail."""
     out = []
     for b in content:
         m = email.message_from_bytes(bytes(b or b""), policy=email.policy.default)
-        body = m.get_body(preferencelist=("plain", "html"))
-        out.append(("\n".join(f"{h}: {m[h]}" for h in ("From", "To", "Cc", "Date", "Subject") if m[h]), body.get_content() if body else "", len(list(m.iter_attachments()))))
+        body = m.get_body(preferencelist=("plain",)) if m.is_multipart() else m
+        text = body.get_content() if body else ""
+        out.append(("\n".join(f"{h}: {m.get(h, '')}" for h in ("From", "To", "Cc", "Date", "Subject")), text if isinstance(text, str) else "", len(list(m.iter_attachments()))))
     return pd.DataFrame(out, columns=["header", "body", "attachments"])
 
 
+def email_blocks(mails: DataFrame) -> DataFrame:
+    """version_id, sequence, kind, text, block_id, attachments of e-mails (version_id, content): the headers' block, then
+    the body's, numbered on. An e-mail without any text has one row, without a block."""
+    m = mails.select("version_id", email_parts("content").alias("m"))
+    made = lambda text, kind: F.transform(split_blocks(text), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("text")))
+    b = m.select("version_id", "m.attachments", F.posexplode_outer(F.concat(made(F.col("m.header"), "metadata"), made(F.col("m.body"), "paragraph"))).alias("sequence", "b"))
+    return b.select("version_id", F.col("sequence").cast("long").alias("sequence"), "b.kind", "b.text", stable_id("blk_", F.col("version_id").cast("string"), F.lit("1"), F.col("sequence").cast("string"), "b.text", size=20).alias("block_id"), "attachments")
+
+
 def table_text(rows: Column) -> Column:
     """Cells joined by a bar and rows by line ends; rows without any text are left out."""
     return F.array_join(F.transform(F.filter(rows, lambda r: F.exists(r, lambda c: c != "")), lambda r: F.array_join(r, " | ")), "\n")

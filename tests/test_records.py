@@ -159,7 +159,7 @@ def test_files(spark, tmp_path):
     assert {k: r.kind for k, r in got.items()} == {"a": "text", "b": "csv", "c": "email", "d": "pdf"}
     large = {r.path[-5]: r for r in files.load_originals(spark, f"file://{tmp_path}", 9).collect()}
     assert [(k, r.accepted, r.content is None, r.size > 9) for k, r in sorted(large.items())] == [("a", True, False, False), ("b", False, True, True), ("c", False, True, True), ("d", True, False, False)]
-    assert got["a"].text == "é" and got["b"].table == "x | y z\n1" and got["c"].mail.header == "From: a@b.c\nSubject: Hi" and got["c"].mail.body.strip() == "body"
+    assert got["a"].text == "é" and got["b"].table == "x | y z\n1" and got["c"].mail.header == "From: a@b.c\nTo: \nCc: \nDate: \nSubject: Hi" and got["c"].mail.body.strip() == "body"
 
 
 def test_triage(spark):
