@@ -36,10 +36,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseloom.llm.common import hot_keys, mix, salted_join, saved
 
@@ -130,7 +130,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
     """A row a document (doc, n, sig), and for each task its sketch in parts (part, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen, held, size = np.zeros(1 << SKETCH, dtype=np.int64), set(), [], 0
+        counts, seen, held, size = np.zeros(1 << SKETCH, dtype=np.int32), set(), [], 0
         none = lambda n, kind: pa.nulls(n, kind)
         names = ["doc", "n", "sig", "part", "counts"]
         for b in batches:
@@ -142,11 +142,11 @@ def _profiles(docs: DataFrame) -> DataFrame:
                     held.append(s)
                     size += len(s)
             if size > 1 << 20:
-                counts += np.bincount((np.concatenate(held) & np.uint64((1 << SKETCH) - 1)).view(np.int64), minlength=1 << SKETCH)
+                np.add.at(counts, (np.concatenate(held) & np.uint64((1 << SKETCH) - 1)).view(np.int64), 1)
                 held, size = [], 0
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), none(len(sets), pa.int32()), none(len(sets), pa.binary())], names=names)
         if held:
-            counts += np.bincount((np.concatenate(held) & np.uint64((1 << SKETCH) - 1)).view(np.int64), minlength=1 << SKETCH)
+            np.add.at(counts, (np.concatenate(held) & np.uint64((1 << SKETCH) - 1)).view(np.int64), 1)
         parts = np.minimum(counts, 255).astype(np.uint8).reshape(-1, PART)
         used = np.flatnonzero(parts.any(axis=1)).tolist()
         yield pa.RecordBatch.from_arrays([none(len(used), pa.int64()), none(len(used), pa.int64()), none(len(used), pa.int64()), pa.array(used, pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in used], pa.binary())], names=names)
@@ -341,7 +341,7 @@ def _stars(links: DataFrame) -> DataFrame:
 
 
 #: Members of a block of a star, elements of a block of a list, and columns of a matrix of differences.
-MEMBERS, ELEMENTS, COLUMNS = 1024, 512, 4096
+MEMBERS, ELEMENTS, COLUMNS = 256, 512, 512
 
 
 def _met(blocks: DataFrame, keys: list[str]) -> DataFrame:
@@ -417,18 +417,18 @@ def _common(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarra
     flat = one[0], two[0]
     owner = [np.repeat(np.arange(len(side[1])), side[1]) for side in (one, two)]
     both = np.intersect1d(*flat)
-    out = np.zeros((len(one[1]), len(two[1])), dtype=np.float32)
+    out = np.zeros((len(one[1]), len(two[1])), dtype=np.int32)
     at = [np.searchsorted(both, f) for f in flat]
     hit = [(a < len(both)) & (both[np.minimum(a, len(both) - 1)] == f) if len(both) else np.zeros(len(f), dtype=bool) for a, f in zip(at, flat)]
     for low in range(0, len(both), COLUMNS):
         sides = []
         for k, rows in enumerate((len(one[1]), len(two[1]))):
             here = hit[k] & (at[k] >= low) & (at[k] < low + COLUMNS)
-            m = np.zeros((rows, min(COLUMNS, len(both) - low)), dtype=np.float32)
+            m = np.zeros((rows, min(COLUMNS, len(both) - low)), dtype=np.int32)  # integers need no library's buffers
             m[owner[k][here], at[k][here] - low] = 1
             sides.append(m)
         out += sides[0] @ sides[1].T
-    return out.astype(np.int64)
+    return out
 
 
 def _across(lists: DataFrame) -> DataFrame:
@@ -550,14 +550,16 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if odd.isEmpty():
         return docs.join(keep.select(F.col("doc").alias("_kept")), key == F.col("_kept"), "left_semi")
 
-    @F.pandas_udf("n long, sig long")
-    def profile(text: pd.Series) -> pd.DataFrame:
-        got = shingle_sets(list(text))
-        return pd.DataFrame({"n": [len(s) for s in got], "sig": [signature(s) for s in got]})
+    names = [*docs.columns, "_n", "_set"]
+
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = shingle_sets(b.column(names.index(text_col)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(s) for s in got], pa.int64()), pa.array([signature(s) for s in got], pa.int64())], names=names)
 
     plain = keep.join(odd, F.col("doc").eqNullSafe(F.col("_odd")), "left_anti")
     once = docs.join(plain.select(F.col("doc").alias("_kept")), key == F.col("_kept"), "left_semi")
-    mixed = docs.join(odd, key.eqNullSafe(F.col("_odd")), "left_semi").withColumn("_set", profile(F.col(text_col)))
-    again = mixed.filter("_set.n > 0").join(keep.select(F.col("doc").alias("_kept"), F.col("sig").alias("_sig")), key.eqNullSafe(F.col("_kept")) & (F.col("_set.sig") == F.col("_sig")), "left_semi")
-    empty = mixed.filter("_set.n = 0")
-    return once.unionByName(again.dropDuplicates(["_set"]).drop("_set")).unionByName(empty.drop("_set"))
+    mixed = docs.join(odd, key.eqNullSafe(F.col("_odd")), "left_semi")
+    mixed = mixed.mapInArrow(profile, T.StructType([*mixed.schema.fields, T.StructField("_n", T.LongType()), T.StructField("_set", T.LongType())]))
+    again = mixed.filter("_n > 0").join(keep.select(F.col("doc").alias("_kept"), F.col("sig").alias("_sig")), key.eqNullSafe(F.col("_kept")) & (F.col("_set") == F.col("_sig")), "left_semi")
+    return once.unionByName(again.dropDuplicates(["_set"]).unionByName(mixed.filter("_n = 0")).drop("_n", "_set"))
