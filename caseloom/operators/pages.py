@@ -50,9 +50,10 @@ def quality(text: Column) -> Column:
         + WEIGHTS["words"] * F.least(n(r"[\p{L}\p{N}_]+") / 12, one) + WEIGHTS["lines"] * F.least(lines / 5, one) - noise
     )
     full = c > 0
-    safe = lambda x: F.when(full, F.round(x, 4)).otherwise(0.0)
+    four = lambda x: F.floor(x * 10_000 + 0.5) / 10_000
+    safe = lambda x: F.when(full, four(x)).otherwise(0.0)
     return F.struct(
-        F.when(full, F.greatest(F.lit(0.0), F.least(one, F.round(score, 4)))).otherwise(0.0).alias("score"), c.cast("long").alias("characters"),
+        F.when(full, F.greatest(F.lit(0.0), F.least(one, four(score)))).otherwise(0.0).alias("score"), c.cast("long").alias("characters"),
         n(r"[\p{L}\p{N}_]+").cast("long").alias("words"), safe(printable).alias("printable_ratio"), safe(alpha).alias("alphanumeric_ratio"), safe(replaced).alias("replacement_ratio"),
     )
 

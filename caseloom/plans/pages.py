@@ -181,10 +181,10 @@ SQL = {
 n AS (SELECT doc_id, len(regexp_extract_all(t, '[^\s\p{Z}]'))::DOUBLE AS c, len(regexp_extract_all(t, '[\p{L}\p{N}_]+'))::DOUBLE AS words, len(regexp_extract_all(t, '[\p{L}\p{N}]'))::DOUBLE AS alnum,
   greatest(len(regexp_extract_all(t, '[^\n]*[^\s\p{Z}][^\n]*')), 1)::DOUBLE AS lines, len(regexp_extract_all(t, '[^\p{L}\p{N}_\s\p{Z}]{5,}'))::DOUBLE AS runs,
   len(regexp_extract_all(t, '[\x00-\x08\x0E-\x1B\x7F-\x84\x{86}-\x{9F}\p{Cf}\p{Co}]'))::DOUBLE AS hidden, len(regexp_extract_all(t, '[\x00-\x08\x0E-\x1B\x7F-\x84\x{86}-\x{9F}\x{FFFD}]'))::DOUBLE AS bad FROM t),
-s AS (SELECT doc_id, CASE WHEN c > 0 THEN greatest(0::DOUBLE, least(1::DOUBLE, round(
+s AS (SELECT doc_id, CASE WHEN c > 0 THEN greatest(0::DOUBLE, least(1::DOUBLE, floor((
   0.30::DOUBLE * least(c / 80, 1::DOUBLE) + 0.25::DOUBLE * ((c - hidden) / c) + 0.20::DOUBLE * least(alnum / c / 0.45::DOUBLE, 1::DOUBLE) + 0.15::DOUBLE * least(words / 12, 1::DOUBLE) + 0.10::DOUBLE * least(lines / 5, 1::DOUBLE)
-  - least(0.55::DOUBLE, bad / c * 2.5::DOUBLE + runs * 0.08::DOUBLE), 4))) ELSE 0::DOUBLE END AS score, CAST(c AS BIGINT) AS characters, CAST(words AS BIGINT) AS words,
-  CASE WHEN c > 0 THEN round((c - hidden) / c, 4) ELSE 0::DOUBLE END AS printable_ratio, CASE WHEN c > 0 THEN round(alnum / c, 4) ELSE 0::DOUBLE END AS alphanumeric_ratio, CASE WHEN c > 0 THEN round(bad / c, 4) ELSE 0::DOUBLE END AS replacement_ratio FROM n)
+  - least(0.55::DOUBLE, bad / c * 2.5::DOUBLE + runs * 0.08::DOUBLE)) * 10000 + 0.5::DOUBLE) / 10000)) ELSE 0::DOUBLE END AS score, CAST(c AS BIGINT) AS characters, CAST(words AS BIGINT) AS words,
+  CASE WHEN c > 0 THEN floor((c - hidden) / c * 10000 + 0.5::DOUBLE) / 10000 ELSE 0::DOUBLE END AS printable_ratio, CASE WHEN c > 0 THEN floor(alnum / c * 10000 + 0.5::DOUBLE) / 10000 ELSE 0::DOUBLE END AS alphanumeric_ratio, CASE WHEN c > 0 THEN floor(bad / c * 10000 + 0.5::DOUBLE) / 10000 ELSE 0::DOUBLE END AS replacement_ratio FROM n)
 SELECT *, CASE WHEN score < 0.55 OR characters < 24 THEN 'true' ELSE 'false' END AS needs_ocr FROM s""",
     "src3_documents": r"""
 WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(CASE WHEN doc_id % 10 = 0 THEN ' ' || chr(10) || chr(10) || ' ' ELSE coalesce(text, '') END, '(\.)\s*\n|\n\s*\n', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS b FROM documents)
@@ -212,7 +212,7 @@ SELECT version_id, min(page_number) AS page_number, arg_min(error_code, page_num
     "src14_nested": "SELECT l_orderkey AS version_id, 2 AS n_blocks, count(*) AS n_rows, 'Order ' || l_orderkey AS first_text FROM lineitem GROUP BY l_orderkey",
     "blk5_cells": """WITH r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) - 1 AS row, [CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), l_returnflag] AS v FROM lineitem)
 SELECT l_orderkey AS version_id, 1 AS sequence, row, CAST(generate_subscripts(v, 1) - 1 AS BIGINT) AS "column", unnest(v) AS value FROM r""",
-    "src17_hashes": r"""SELECT event_id, sha256('{"category":"café ' || event_type || '","id":' || event_id || ',"user":' || CASE WHEN event_id % 3 > 0 THEN CAST(user_id AS VARCHAR) ELSE 'null' END || '}') AS sha256 FROM events""",
+    "src17_hashes": r"""SELECT event_id, sha256('{"category":"caf\u00e9 ' || event_type || '","id":' || event_id || ',"user":' || CASE WHEN event_id % 3 > 0 THEN CAST(user_id AS VARCHAR) ELSE 'null' END || '}') AS sha256 FROM events""",
     "src7_uploads": """WITH u AS (SELECT doc_id, doc_id % 9 AS n, ['pdf','png','jpeg','tiff','x','x','xls','zip','text'][doc_id % 9 + 1] AS kind, CASE WHEN doc_id % 5 = 0 THEN 'pdf' ELSE ['pdf','png','jpg','tif','txt','gz','xls','docx','txt'][doc_id % 9 + 1] END AS suffix FROM documents),
 r AS (SELECT *, CASE WHEN doc_id % 50 = 49 THEN 'The uploaded file is empty.' WHEN n IN (4, 5) THEN 'Executable or archive uploads are not allowed.' WHEN n = 7 THEN 'Office document container is corrupted.'
   WHEN NOT (suffix = kind OR (kind, suffix) IN (('jpeg', 'jpg'), ('tiff', 'tif'), ('text', 'txt'))) THEN 'File extension .' || suffix || ' does not match detected ' || kind || ' content.'
