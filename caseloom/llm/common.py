@@ -2,36 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHECKPOINT = "spark.checkpoint.dir"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the session's spark.checkpoint.dir.
-
-    Where it is unset (tests in local mode) a folder of this machine is set for the session.
-    """
-    folder = spark.conf.get(CHECKPOINT, None) or spark.sparkContext.getConf().get(CHECKPOINT)
-    if not folder:
-        if not (spark.sparkContext.master or "").startswith("local"):
-            raise ValueError(f"set {CHECKPOINT} to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="caseloom-")
-        spark.conf.set(CHECKPOINT, folder)
-    return folder.rstrip("/")
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table into the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from caseloom.sources.views import shared_folder, stored as saved  # noqa: F401
 
 
 #: A key is hot from this many rows on (or from a 100,000th of all rows), so that fewer than 100,000 keys ever are.
