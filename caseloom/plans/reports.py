@@ -231,15 +231,27 @@ law AS (SELECT page_id, case_id, 'claim_' || substr(sha256(case_id || ':' || res
 _BOTH = records._CLAIMS + records._CAVEATS[len(records._ATOMS):] + "," + _RESULTS + """,
 own AS (SELECT *, CASE WHEN CAST(case_id AS BIGINT) % 3 = 0 THEN rank % 7 ELSE 0 END AS m FROM claims),
 law7 AS (SELECT *, CASE WHEN CAST(case_id AS BIGINT) % 3 = 0 THEN page_id % 7 ELSE 0 END AS m FROM law),
+claims_t AS (
+  SELECT case_id, claim_id, claim_kind AS kind, CASE m WHEN 1 THEN [] WHEN 2 THEN ['ev_missing'] ELSE [evidence_id] END AS evidence_ids, CAST([] AS VARCHAR[]) AS research_ids FROM own
+  UNION ALL SELECT case_id, claim_id, 'law', CAST([] AS VARCHAR[]), CASE m WHEN 2 THEN ['research_missing'] ELSE [research_id] END FROM law7),
+cites_t AS (
+  SELECT case_id, citation_id, CASE WHEN m = 4 THEN 'ev_missing' ELSE evidence_id END AS evidence_id, NULL AS research_id, NULL AS source_url FROM own WHERE m <> 3
+  UNION ALL SELECT case_id, citation_id, NULL, research_id, CASE WHEN m = 3 THEN 'https://elsewhere.example/' ELSE source_url END FROM law7 WHERE m <> 1),
+uses AS (SELECT case_id, claim_id, unnest(evidence_ids) AS id FROM claims_t), uses_law AS (SELECT case_id, claim_id, unnest(research_ids) AS id FROM claims_t),
 issues AS (
-  SELECT case_id, 'research_citation' AS code, 'research' AS entity_type, research_id AS entity_id FROM law7 WHERE m = 1
-  UNION ALL SELECT case_id, 'citation_evidence', 'citation', citation_id FROM own WHERE m = 4
-  UNION ALL SELECT case_id, 'citation_research', 'citation', citation_id FROM law7 WHERE m = 3
-  UNION ALL SELECT case_id, 'unsupported_claim', 'claim', claim_id FROM own WHERE m = 1
-  UNION ALL SELECT case_id, 'claim_evidence', 'claim', claim_id FROM own WHERE m = 2
-  UNION ALL SELECT case_id, 'claim_research', 'claim', claim_id FROM law7 WHERE m = 2
-  UNION ALL SELECT case_id, 'claim_citation', 'claim', claim_id FROM own WHERE m = 3 OR (m IN (2, 4) AND NOT EXISTS (SELECT 1 FROM own o WHERE o.case_id = own.case_id AND o.m = 4 AND own.m = 2))
-  UNION ALL SELECT case_id, 'claim_research_citation', 'claim', claim_id FROM law7 WHERE m IN (1, 2))
+  SELECT case_id, 'research_source' AS code, 'research' AS entity_type, research_id AS entity_id FROM law7 WHERE NOT """ + _ALLOWED + """
+  UNION SELECT case_id, 'research_citation', 'research', research_id FROM law7 f WHERE NOT EXISTS (SELECT 1 FROM cites_t c WHERE c.case_id = f.case_id AND c.research_id = f.research_id)
+  UNION SELECT case_id, 'citation_evidence', 'citation', citation_id FROM cites_t c WHERE evidence_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM atoms a WHERE a.case_id = c.case_id AND a.evidence_id = c.evidence_id)
+  UNION SELECT case_id, 'citation_research', 'citation', citation_id FROM cites_t c WHERE evidence_id IS NULL AND (NOT """ + _ALLOWED + """ OR NOT EXISTS (SELECT 1 FROM law7 f WHERE f.case_id = c.case_id AND f.research_id = c.research_id AND f.source_url = c.source_url))
+  UNION SELECT case_id, 'unsupported_claim', 'claim', claim_id FROM claims_t WHERE len(evidence_ids) = 0 AND (kind = 'fact' OR len(research_ids) = 0)
+  UNION SELECT case_id, 'claim_evidence', 'claim', claim_id FROM uses u WHERE NOT EXISTS (SELECT 1 FROM atoms a WHERE a.case_id = u.case_id AND a.evidence_id = u.id)
+  UNION SELECT case_id, 'claim_research', 'claim', claim_id FROM uses_law u WHERE NOT EXISTS (SELECT 1 FROM law7 f WHERE f.case_id = u.case_id AND f.research_id = u.id)
+  UNION SELECT case_id, 'claim_citation', 'claim', claim_id FROM uses u WHERE NOT EXISTS (SELECT 1 FROM cites_t c WHERE c.case_id = u.case_id AND c.evidence_id = u.id)
+  UNION SELECT case_id, 'claim_research_citation', 'claim', claim_id FROM uses_law u WHERE NOT EXISTS (SELECT 1 FROM cites_t c WHERE c.case_id = u.case_id AND c.research_id = u.id)),
+held AS (SELECT * FROM cites_t c WHERE NOT EXISTS (SELECT 1 FROM issues i WHERE i.case_id = c.case_id AND i.entity_type = 'citation' AND i.entity_id = c.citation_id)),
+lost AS (
+  SELECT case_id, claim_id FROM (SELECT * FROM uses UNION ALL SELECT * FROM uses_law) u WHERE case_id IN (SELECT case_id FROM issues) AND NOT EXISTS (SELECT 1 FROM held h WHERE h.case_id = u.case_id AND coalesce(h.evidence_id, h.research_id) = u.id)
+  UNION SELECT case_id, entity_id FROM issues WHERE entity_type = 'claim')
 """
 _QUEUE = records._CAVEATS + """
 , items AS (""" + records.REVIEW_SQL + """),
@@ -258,11 +270,9 @@ SELECT case_id, substr(coalesce(l.q, a.q), 1, 500) AS query FROM any_values a LE
     "rpt3_research_claims": "WITH " + _RESULTS + "SELECT case_id, claim_id, research_id, statement, confidence, caveat, citation_id, citation_label, source_url FROM law",
     "int8_report_issues": _BOTH + "SELECT * FROM issues",
     "rpt11_mediated": _BOTH + """,
-kept AS (
-  SELECT case_id, count(*) FILTER (WHERE m IN (0, 5, 6)) AS claims, count(*) FILTER (WHERE m NOT IN (3, 4)) AS citations FROM own GROUP BY case_id
-  UNION ALL SELECT case_id, count(*) FILTER (WHERE m IN (0, 4, 5, 6)), count(*) FILTER (WHERE m NOT IN (1, 3)) FROM law7 GROUP BY case_id)
-SELECT case_id, CAST(sum(claims) AS BIGINT) AS claims, CAST(sum(citations) AS BIGINT) AS citations,
-  CASE WHEN case_id IN (SELECT case_id FROM issues) OR case_id IN (SELECT case_id FROM caveats WHERE severity = 'blocking') THEN 'needs_review' ELSE 'completed' END AS status FROM kept GROUP BY case_id""",
+k AS (SELECT case_id, count(*) AS claims FROM claims_t c WHERE NOT EXISTS (SELECT 1 FROM lost l WHERE l.case_id = c.case_id AND l.claim_id = c.claim_id) GROUP BY case_id), h AS (SELECT case_id, count(*) AS citations FROM held GROUP BY case_id)
+SELECT case_id, coalesce(claims, 0) AS claims, coalesce(citations, 0) AS citations, CASE WHEN case_id IN (SELECT case_id FROM issues) OR case_id IN (SELECT case_id FROM caveats WHERE severity = 'blocking') THEN 'needs_review' ELSE 'completed' END AS status
+FROM (SELECT DISTINCT case_id FROM claims_t) LEFT JOIN k USING (case_id) LEFT JOIN h USING (case_id)""",
     "rpt10_versions": "SELECT case_id, version, 'report_' || substr(sha256(case_id || ':' || CAST(version AS VARCHAR)), 1, 24) AS report_id FROM (SELECT CAST(c_custkey AS VARCHAR) AS case_id, 1 + count(o_orderkey) AS version FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT' GROUP BY c_custkey)",
     "rv2_queue": _QUEUE + "SELECT *, CASE WHEN status = 'open' THEN row_number() OVER (PARTITION BY case_id, status ORDER BY severity <> 'blocking', review_id) END AS position FROM queue",
     "rv4_challenges": records._CAVEATS + """,
