@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseloom.llm.common import hot_keys, mix, salted_join, saved
+from caseloom.llm.common import batches_of, hot_keys, mix, salted_join, saved
 
 WORDS = 5
 #: Counters of the sketch (2**SKETCH, one byte each when sent), and bits of the filter by id (2**FILTER).
@@ -340,8 +340,8 @@ def _stars(links: DataFrame) -> DataFrame:
     return joined.join(centres.select("u", F.lit(True).alias("c")), "u", "left").select(F.col("u").alias("sig"), F.when(F.col("c"), F.col("u")).otherwise(F.coalesce("x.s", "u")).alias("star"))
 
 
-#: Members of a block of a star, elements of a block of a list, and columns of a matrix of differences.
-MEMBERS, ELEMENTS, COLUMNS = 256, 512, 512
+#: Members of a block of a star, elements of a block of a list, columns of a matrix of differences, rows of a batch.
+MEMBERS, ELEMENTS, COLUMNS, BATCH = 256, 512, 512, 1000
 
 
 def _met(blocks: DataFrame, keys: list[str]) -> DataFrame:
@@ -483,6 +483,12 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _classes_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """What `_joined` gives, computed in small batches."""
+    with batches_of(docs.sparkSession, BATCH):
+        return _joined(docs, id_col, text_col)
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(doc, n, sig) of each row, and sig, n, doc (the smallest), w (rows), comp (the component's hash), links of each set."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
