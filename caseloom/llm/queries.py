@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from caseloom.llm import bpe, chat, counts, jaccard, media, packing, pii, topk, toxicity, urls
+from caseloom.llm import bpe, chat, counts, jaccard, lempel_ziv, media, merkle, packing, pii, topk, toxicity, urls, whitening
 from caseloom.llm.common import saved, shared_folder
 
 #: The query's allow and block rules.
@@ -109,7 +109,23 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_chat, op3_toxicity, op4_jaccard, op5_pii, op6_urls, op7_topk, op8_packing, op9_counts, op10_bpe)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lempel_ziv.without_repeats(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampering adds 1 to n_chars of some documents (not to the greatest long)."""
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    longer = F.coalesce(F.try_add("n_chars", F.lit(1).cast("long")), "n_chars")
+    proofs = merkle.manifest(table(spark, sf_dir, "documents"), columns, "lang", "doc_id", {"n_chars": longer}, F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
+    return merkle.verified(proofs, "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_media, op2_chat, op3_toxicity, op4_jaccard, op5_pii, op6_urls, op7_topk, op8_packing, op9_counts, op10_bpe, op11_whitening, op12_lempel_ziv, op13_merkle)}
 
 SQL = {
     "op9_counts": r"""
@@ -129,6 +145,60 @@ SELECT source, lang, 'pieces-2' AS tokenizer,
        CAST(sum(CASE WHEN toxic = 1 THEN 0 ELSE 1 END) AS BIGINT) AS docs,
        CAST(sum(CASE WHEN toxic = 1 THEN 0 ELSE pieces END) AS BIGINT) AS tokens
 FROM c GROUP BY source, lang
+""",
+    "op12_lempel_ziv": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT doc_id, start, array_to_string(words[start + 1 : start + 20], ' ') AS held
+  FROM (SELECT doc_id, words, unnest(range(0, greatest(len(words) - 19, 0))) AS start FROM w)),
+again AS (SELECT doc_id, start FROM (SELECT doc_id, start, row_number() OVER (PARTITION BY held ORDER BY doc_id, start) AS r FROM windows) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, start + unnest(range(0, 20)) AS at FROM again),
+each AS (SELECT doc_id, unnest(words) AS word, unnest(range(0, len(words))) AS at FROM w),
+kept AS (
+  SELECT e.doc_id, count(*) AS n_words, count(g.at) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY e.at) FILTER (WHERE g.at IS NULL), '') AS kept
+  FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.at = e.at GROUP BY e.doc_id)
+SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+""",
+    "op13_merkle": r"""
+WITH RECURSIVE byte AS (SELECT range AS c FROM range(0, 256)),
+crc0 AS (SELECT c, c AS x, 0 AS k FROM byte UNION ALL SELECT c, CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, k + 1 FROM crc0 WHERE k < 8),
+crc_table AS (SELECT list(x ORDER BY c) AS t FROM crc0 WHERE k = 8),
+crc(doc_id, s, x) AS (
+  SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR), CAST(4294967295 AS BIGINT) FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL SELECT doc_id, substr(s, 2), xor(x // 256, t[xor(x % 256, ascii(s)) + 1]) FROM crc, crc_table WHERE s <> ''),
+odd AS (SELECT doc_id FROM crc WHERE s = '' AND xor(x, 4294967295) % 7 = 0),
+f AS (
+  SELECT doc_id, lang,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+         coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS b, coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') AS c,
+         coalesce(strlen(text) || ':' || text, '-') AS d, doc_id IN (SELECT doc_id FROM odd) AS tampered
+  FROM documents),
+leaves AS (
+  SELECT doc_id, lang, leaf, started, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n
+  FROM (SELECT doc_id, lang, sha256(a || b || d) AS leaf, sha256(a || CASE WHEN tampered THEN c ELSE b END || d) AS started FROM f)),
+nodes(lang, level, idx, digest, n) AS (
+  SELECT lang, 0, idx, leaf, n FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, idx // 2, sha256(string_agg(digest, '' ORDER BY idx)), CAST(ceil(n / 2.0) AS BIGINT) FROM nodes WHERE n > 1 GROUP BY lang, level, idx // 2, n),
+subroots AS (SELECT lang, digest AS subroot, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+over(level, idx, digest, n) AS (
+  SELECT 0, idx, subroot, n FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 2, sha256(string_agg(digest, '' ORDER BY idx)), CAST(ceil(n / 2.0) AS BIGINT) FROM over WHERE n > 1 GROUP BY level, idx // 2, n),
+root AS (SELECT digest AS root FROM over WHERE n = 1),
+steps AS (
+  SELECT l.lang, l.idx, x.level, xor(l.idx // CAST(2 ** x.level AS BIGINT), 1) AS place, x.digest
+  FROM leaves l JOIN nodes x ON x.lang IS NOT DISTINCT FROM l.lang AND x.n > 1 AND x.idx = xor(l.idx // CAST(2 ** x.level AS BIGINT), 1)
+  UNION ALL
+  SELECT l.lang, l.idx, s.height + x.level, x.idx, x.digest
+  FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang JOIN over x ON x.n > 1 AND x.idx = xor(s.idx // CAST(2 ** x.level AS BIGINT), 1)),
+proofs AS (SELECT lang, idx, list({'left': place % 2 = 0, 'digest': digest} ORDER BY level) AS p FROM steps GROUP BY lang, idx),
+fold(doc_id, lang, idx, leaf, d, k, p) AS (
+  SELECT l.doc_id, l.lang, l.idx, leaf, started, 1, coalesce(p, []) FROM leaves l LEFT JOIN proofs q ON q.lang IS NOT DISTINCT FROM l.lang AND q.idx = l.idx
+  UNION ALL SELECT doc_id, lang, idx, leaf, sha256(CASE WHEN p[k]['left'] THEN p[k]['digest'] || d ELSE d || p[k]['digest'] END), k + 1, p FROM fold WHERE k <= len(p))
+SELECT f.doc_id, leaf, subroot, root, sha256(list_aggregate(list_transform(p, lambda x: x['digest']), 'string_agg', '')) AS proof_sha256, d AS folded_root, d = root AS verified
+FROM fold f JOIN subroots s ON s.lang IS NOT DISTINCT FROM f.lang, root WHERE k = len(p) + 1
 """,
     "op2_chat": r"""
 WITH m AS (
