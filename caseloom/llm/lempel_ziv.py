@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from caseloom.llm.common import mix
 from caseloom.llm.jaccard import _BYTE, _ODD, _WORD, _power
 
-WINDOW, GRAM = 20, 6
+WINDOW, GRAM = 20, 4
 #: Bytes of text that a task parses against itself at a time, and rows of an anchor from which on it is dealt by window.
 CHUNK, HOT = 16 << 20, 5_000
 _MASK = np.uint64((1 << 48) - 1)
@@ -148,9 +148,12 @@ def _pieces(p: Passages, found: np.ndarray, from_doc: np.ndarray, from_start: np
     return begin, row[begin], within[begin], count, found[begin]
 
 
-_SENT = pa.schema([("anchor", pa.int64()), ("z", pa.int32()), ("d", pa.int64()), ("tie", pa.int64()), ("start", pa.int32()), ("offset", pa.int32()), ("windows", pa.binary()), ("length", pa.int32()), ("from_z", pa.int32()), ("from_d", pa.int64()), ("from_tie", pa.int64()), ("from_start", pa.int32())])
+#: Rows between tasks are kept small: at is start * 256 + offset to the anchor, what holds 6 bytes a window. A factor that
+#: is known already has at -1 - start, and in what its length and source.
+_SENT = pa.schema([("anchor", pa.int64()), ("d", pa.int64()), ("z", pa.int32()), ("tie", pa.int64()), ("at", pa.int64()), ("what", pa.binary())])
+_DDL = "anchor long, d long, z int, tie long, at long, what binary"
+_FACTOR = np.dtype([("length", "<i8"), ("from_z", "<i8"), ("from_d", "<i8"), ("from_tie", "<i8"), ("from_start", "<i8")])
 _FOUND = ["z", "d", "tie", "start", "length", "from_z", "from_d", "from_tie", "from_start"]
-_DDL = "anchor long, z int, d long, tie long, start int, offset int, windows binary, length int, from_z int, from_d long, from_tie long, from_start int"
 _FOUND_DDL = "z int, d long, tie long, start int, length int, from_z int, from_d long, from_tie long, from_start int"
 
 
@@ -231,8 +234,17 @@ def _binaries(raw: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())])
 
 
+def _joined(column: pa.ChunkedArray) -> bytes:
+    """All values of a binary column, one after the other."""
+    out = []
+    for c in column.chunks:
+        at = np.frombuffer(c.buffers()[1], dtype=np.int32)[c.offset:c.offset + len(c) + 1]
+        out.append(c.buffers()[2].to_pybytes()[at[0]:at[-1]] if len(c) else b"")
+    return b"".join(out)
+
+
 def _send(hot: np.ndarray):
-    """Each task's passages, less what repeats within a chunk, which is sent as factors (with length)."""
+    """Each task's passages, less what repeats within a chunk, which is sent as factors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in _chunks(batches):
@@ -244,20 +256,18 @@ def _send(hot: np.ndarray):
             p = _passages(texts, hot)
             found, from_doc, from_start = p.repeated()
             first, row, within, count, hit = _pieces(p, found, from_doc, from_start)
-            sizes = np.where(hit, 0, count)
-            keep = np.repeat(~hit, count)
-            windows = _binaries(_six(p.window[keep]), sizes * 6)
             source = from_doc[first]
-            none = lambda x: pa.array(x.astype(np.int64), mask=~hit)
+            known = np.zeros(len(first), dtype=_FACTOR)
+            for name, x in (("length", count + WINDOW - 1), ("from_z", keys[0][source]), ("from_d", keys[1][source]), ("from_tie", keys[2][source]), ("from_start", from_start[first])):
+                known[name] = x
+            start, doc = p.start[row] + within, p.doc[row]
             with np.errstate(over="ignore"):
                 spread = mix(first.astype(np.uint64) + p.anchor[row])
-            columns = [
-                pa.array(np.where(hit, spread, p.anchor[row]).view(np.int64)), pa.array(keys[0][p.doc[row]].astype(np.int32)), pa.array(keys[1][p.doc[row]]), pa.array(keys[2][p.doc[row]]),
-                pa.array((p.start[row] + within).astype(np.int32)), pa.array((p.offset[row] - within).astype(np.int32)), windows, pa.array((count + WINDOW - 1).astype(np.int32), mask=~hit),
-                none(keys[0][source]).cast(pa.int32()), none(keys[1][source]), none(keys[2][source]), none(from_start[first]).cast(pa.int32()),
-            ]
-            table = pa.Table.from_arrays(columns, schema=_SENT)
-            yield from table.to_batches(max_chunksize=20_000)
+            columns = [np.where(hit, spread, p.anchor[row]).view(np.int64), keys[1][doc], keys[0][doc].astype(np.int32), keys[2][doc], np.where(hit, -1 - start, start * 256 + p.offset[row] - within)]
+            fresh, windows = np.flatnonzero(~hit), _six(p.window[np.repeat(~hit, count)])
+            for some, what in ((fresh, _binaries(windows, count[fresh] * 6)), (np.flatnonzero(hit), _binaries(known[hit].view(np.uint8), np.full(int(hit.sum()), _FACTOR.itemsize)))):
+                table = pa.Table.from_arrays([*(pa.array(c[some]) for c in columns), what], schema=_SENT)
+                yield from table.to_batches(max_chunksize=20_000)
 
     return run
 
@@ -267,16 +277,18 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rest: pa.Table | None = None
 
     def factors(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        ready = t.filter(pc.is_valid(t["length"])).select(_FOUND)
+        old = pc.less(t["at"], 0)
+        ready, t = t.filter(old), t.filter(pc.invert(old)).combine_chunks()
         if ready.num_rows:
-            yield from ready.to_batches()
-        t = t.filter(pc.is_null(t["length"])).combine_chunks()
+            known = np.frombuffer(_joined(ready["what"]), dtype=_FACTOR)
+            columns = [ready["z"].combine_chunks(), ready["d"].combine_chunks(), ready["tie"].combine_chunks(), pa.array((-1 - ready["at"].to_numpy()).astype(np.int32)), *(pa.array(known[c].astype(t)) for c, t in (("length", np.int32), ("from_z", np.int32), ("from_d", np.int64), ("from_tie", np.int64), ("from_start", np.int32)))]
+            yield pa.RecordBatch.from_arrays(columns, names=_FOUND)
         if not t.num_rows:
             return
-        z, d, tie, start, offset = (t[c].to_numpy().astype(np.int64) for c in ("z", "d", "tie", "start", "offset"))
-        raw = pa.concat_arrays(t["windows"].chunks)
-        at = np.frombuffer(raw.buffers()[1], dtype=np.int32)[raw.offset:raw.offset + len(raw) + 1]
-        window = _unsix(np.frombuffer(raw.buffers()[2], dtype=np.uint8)[at[0]:at[-1]])
+        z, d, tie, at = (t[c].to_numpy().astype(np.int64) for c in ("z", "d", "tie", "at"))
+        start, offset = at >> 8, at & 255
+        window = _unsix(np.frombuffer(_joined(t["what"]), dtype=np.uint8))
+        sizes = pc.binary_length(t["what"]).to_numpy() // 6
         anchor = t["anchor"].to_numpy().view(np.uint64)
         by = np.lexsort((tie, d, z))  # numbers for documents
         new = np.ones(len(by), dtype=bool)
@@ -284,7 +296,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc = np.empty(len(by), dtype=np.int64)
         doc[by] = np.cumsum(new) - 1
         some = by[np.flatnonzero(new)]
-        p = Passages(anchor, doc, start, offset, np.diff(at) // 6, window)
+        p = Passages(anchor, doc, start, offset, sizes.astype(np.int64), window)
         found, from_doc, from_start = p.repeated()
         first, row, within, count, hit = _pieces(p, found, from_doc, from_start)
         first, row, within, count = first[hit], row[hit], within[hit], count[hit]
@@ -334,7 +346,7 @@ def _factors(keyed: DataFrame, hot_rows: int) -> DataFrame:
     often = counts.filter(F.col("n") >= hot_rows).orderBy(F.desc("n")).limit(100_000)
     hot = np.sort(np.array([r.anchor for r in often.select("anchor").collect()], dtype=np.int64).view(np.uint64))
     sent = keyed.mapInArrow(_send(hot), _DDL)
-    met = sent.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "anchor").sortWithinPartitions("anchor", "z", "d", "tie", "start")
+    met = sent.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "anchor").sortWithinPartitions("anchor", "z", "d", "tie", "at")
     return met.mapInArrow(_meet, _FOUND_DDL)
 
 
