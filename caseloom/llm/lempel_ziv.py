@@ -108,12 +108,17 @@ class Passages:
     offset to the anchor and its windows, one after the other (count of each)."""
 
     def __init__(self, anchor, doc, start, offset, count, window):
-        self.anchor, self.doc, self.start, self.offset, self.count, self.window = anchor, doc, start, offset, count, window
+        small = lambda x: x.astype(np.int32)
+        self.anchor, self.doc, self.start, self.offset, self.count, self.window = anchor, small(doc), small(start), small(offset), small(count), window
+
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """The passage of each window, and its place in there."""
+        row = np.repeat(np.arange(len(self.count), dtype=np.int32), self.count)
+        return row, np.arange(len(row), dtype=np.int32) - np.repeat((np.cumsum(self.count) - self.count).astype(np.int32), self.count)
 
     def repeated(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Whether each window repeats an earlier one, and the document and start of the first such."""
-        row = np.repeat(np.arange(len(self.count)), self.count)
-        within = np.arange(len(row)) - np.repeat(np.cumsum(self.count) - self.count, self.count)
+        row, within = self.places()
         start = self.start[row] + within
         found, from_doc, from_start = np.zeros(len(row), dtype=bool), self.doc[row], start.copy()
         order = np.argsort(self.anchor, kind="stable")
@@ -140,8 +145,7 @@ class Passages:
 def _pieces(p: Passages, found: np.ndarray, from_doc: np.ndarray, from_start: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of windows of a passage that repeat with one distance to where they were found, and of windows that don't:
     first window, passage, count, whether they repeat."""
-    row = np.repeat(np.arange(len(p.count)), p.count)
-    within = np.arange(len(row)) - np.repeat(np.cumsum(p.count) - p.count, p.count)
+    row, within = p.places()
     away = np.where(found, from_start - p.start[row] - within, 0)
     same = (row[1:] == row[:-1]) & (found[1:] == found[:-1]) & (away[1:] == away[:-1]) & (~found[1:] | (from_doc[1:] == from_doc[:-1]))
     begin, count = _runs(np.flatnonzero(~same), len(row))
@@ -263,7 +267,7 @@ def _send(hot: np.ndarray):
             start, doc = p.start[row] + within, p.doc[row]
             with np.errstate(over="ignore"):
                 spread = mix(first.astype(np.uint64) + p.anchor[row])
-            columns = [np.where(hit, spread, p.anchor[row]).view(np.int64), keys[1][doc], keys[0][doc].astype(np.int32), keys[2][doc], np.where(hit, -1 - start, start * 256 + p.offset[row] - within)]
+            columns = [np.where(hit, spread, p.anchor[row]).view(np.int64), keys[1][doc], keys[0][doc].astype(np.int32), keys[2][doc], np.where(hit, -1 - start, start.astype(np.int64) * 256 + p.offset[row] - within)]
             fresh, windows = np.flatnonzero(~hit), _six(p.window[np.repeat(~hit, count)])
             for some, what in ((fresh, _binaries(windows, count[fresh] * 6)), (np.flatnonzero(hit), _binaries(known[hit].view(np.uint8), np.full(int(hit.sum()), _FACTOR.itemsize)))):
                 table = pa.Table.from_arrays([*(pa.array(c[some]) for c in columns), what], schema=_SENT)
