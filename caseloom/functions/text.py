@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,13 +32,37 @@ def normal(text: Column) -> Column:
     return folded(F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"^[ ,.;:-]+|[ ,.;:-]+$", ""))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row. Inside a lambda, an expression is computed again for each element, and
+    the optimizer puts columns back in the place where they are used; a lambda's own variable stays as it is."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running_sums(values: Column, run: int = 256) -> Column:
+    """The sums of all values before each one, for an array of int: within runs of bounded length first, since appending
+    copies an array, then over the runs."""
+
+    def sums(a: Column) -> Column:
+        return F.aggregate(a, F.array().cast("array<int>"), lambda s, x: F.concat(s, F.array(F.coalesce(F.get(s, F.size(s) - 1), F.lit(0)) + x)))
+
+    def joined(a: Column) -> Column:
+        ends = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(a) - 1) / run), F.lit(0)).cast("int")), lambda k: sums(F.slice(a, k * run + 1, run)))
+        return let(ends, lambda e: let(sums(F.transform(e, lambda r: F.coalesce(F.get(r, F.size(r) - 1), F.lit(0)))), lambda whole: F.flatten(F.transform(e, lambda r, k: F.transform(r, lambda x: x + F.coalesce(F.get(whole, k - 1), F.lit(0)))))))
+
+    return let(values, lambda v: let(joined(v), lambda ends: F.zip_with(ends, v, lambda e, x: e - x)))
+
+
 def spans(text: Column, pattern: str, replacement: str = _OPEN + "$0" + _CLOSE) -> Column:
     """array<struct<start,end,quote,before>>: matches with offsets in code points. A replacement that puts the marks
-    round one group narrows the spans to it; before is the text between the last mark and this one."""
-    parts = F.split(F.regexp_replace(text, pattern, replacement), _OPEN, -1)
-    ends = F.aggregate(F.transform(parts, lambda p: F.length(F.replace(p, F.lit(_CLOSE), F.lit("")))), F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    made = F.transform(parts, lambda p, i: F.struct(F.get(ends, i).alias("start"), (F.get(ends, i) + F.instr(p, _CLOSE) - 1).alias("end"), F.substring(p, F.lit(1), F.instr(p, _CLOSE) - 1).alias("quote"), F.when(i > 0, F.get(parts, i - 1)).alias("before")))
-    return F.filter(made, lambda s, i: i > 0)
+    round one group narrows the spans to it; before is the text between the last mark and this one. The text is searched
+    once and cut at its matches; offsets are sums over the pieces, so the time grows with the text and its matches."""
+
+    def made(parts: Column) -> Column:
+        starts = running_sums(F.transform(parts, lambda p: F.length(F.replace(p, F.lit(_CLOSE), F.lit("")))))
+        return let(starts, lambda at: F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: let(F.get(parts, i), lambda p: let(F.instr(p, _CLOSE) - 1, lambda n: F.struct(F.get(at, i).alias("start"), (F.get(at, i) + n).alias("end"), F.substring(p, F.lit(1), n).alias("quote"), F.get(parts, i - 1).alias("before"))))))
+
+    none = F.array().cast("array<struct<start:int,end:int,quote:string,before:string>>")
+    return let(F.split(F.regexp_replace(text, pattern, replacement), _OPEN, -1), lambda parts: F.when(F.size(parts) > 1, made(parts)).otherwise(none))
 
 
 def terms(text: Column) -> Column:

@@ -23,6 +23,7 @@ RULES = [
 ]
 ROLES = "petitioner|applicant|complainant|informant|respondent|accused|appellant|defendant|plaintiff|deponent|witness"
 PARTY = rf"(?i)\b({ROLES})(\s*(?:no\.?\s*\d+)?\s*[:.-]\s*)([A-Z][A-Za-z.' -]{{2,80}})(?=\n|,|;|\s+(?:aged|age|son|daughter|wife|resident|address)\b|$)"
+HIGH_COURT = "[A-Z][A-Za-z ]+ High Court|"
 PARTY_CONFIDENCE, GATE = 0.90, 0.75
 OPPOSING = [("petitioner", "respondent"), ("applicant", "respondent"), ("complainant", "accused"), ("plaintiff", "defendant"), ("appellant", "respondent")]
 ACTORS = ["person", "organization", "court", "authority"]
@@ -39,8 +40,16 @@ def occurrences(blocks: DataFrame) -> DataFrame:
     def found(kind: str, label: Column | None, weight: float, got: Column) -> Column:
         return F.transform(got, lambda s: F.struct(F.lit(kind).alias("kind"), (label if label is not None else F.initcap(F.regexp_extract(s["before"], rf"(?i)({ROLES})\s*(?:no\.?\s*\d+)?\s*[:.-]\s*$", 1))).alias("label"), s["start"].alias("start"), s["end"].alias("end"), s["quote"].alias("quote"), F.lit(weight).alias("weight")))
 
+    def of_rule(name: str, pattern: str) -> Column:
+        # what a rule can't do without is looked for first: in prose without it, these two rules would try each word's rest
+        if name == "email":
+            return F.when(F.contains("text", F.lit("@")), spans(F.col("text"), pattern)).otherwise(spans(F.lit(""), pattern))
+        if name == "court":
+            return F.when(F.contains(F.lower("text"), F.lit("high court")), spans(F.col("text"), pattern)).otherwise(spans(F.col("text"), pattern.replace(HIGH_COURT, "")))
+        return spans(F.col("text"), pattern)
+
     parties = found("person", None, PARTY_CONFIDENCE, spans(F.col("text"), PARTY, "$1$2\u0001$3\u0002"))
-    all_ = [found(kind, F.lit(title(name)), weight, spans(F.col("text"), pattern)) for name, kind, pattern, weight in RULES]
+    all_ = [found(kind, F.lit(title(name)), weight, of_rule(name, pattern)) for name, kind, pattern, weight in RULES]
     return usable.withColumn("m", F.explode(F.concat(parties, *all_))).select(*blocks.columns, "m.*").withColumn("normalized", normal(F.col("quote"))).filter("normalized <> ''")
 
 

@@ -89,7 +89,7 @@ def record_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 3 == 0, 0.6).when(key % 3 == 1, 0.8).otherwise(1.0).alias("confidence"), F.posexplode(texts).alias("sequence", "text"),
     )
     # a small scan gives few tasks, and the rules over the text are what takes time
-    flat = flat.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "case_id")
+    flat = flat.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "version_id")
     return flat.withColumn("block_id", stable_id("blk_", "version_id", F.lit("1"), F.col("sequence").cast("string"), "text", size=20))
 
 
