@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from caseloom.functions.text import excerpt
-from caseloom.operators import answers, search
+from caseloom.operators import answers, postings, search
 from caseloom.plans.governance import uploads
-from caseloom.sources.views import DOCUMENT_LINES, document_lines, small, stored, table
+from caseloom.sources.views import DOCUMENT_LINES, document_lines, shared_folder, small, stored, table
 
 
 def _questions(spark, sf_dir):
@@ -33,6 +35,35 @@ def sr3_bm25(spark, sf_dir):
     return search.bm25(document_lines(spark, sf_dir), _questions(spark, sf_dir))
 
 
+def sr4_phrases(spark, sf_dir):
+    """Blocks of all sources that hold a benchmark text without its first and last two characters, which cuts words."""
+    q = _all_questions(spark, sf_dir).select("query_id", "case_id", F.expr("substring(query, 3, greatest(length(query) - 4, 0))").alias("query"))
+    return search.phrase_blocks(document_lines(spark, sf_dir), q.filter("query_id not like 'none@%'"))
+
+
+def _index(spark, sf_dir):
+    """A stored index of all documents' lines, in which French documents were changed and German ones removed afterwards."""
+    index = postings.Index(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    index.put(document_lines(spark, sf_dir))
+    langs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("case_id"), "lang")
+    lines = document_lines(spark, sf_dir).join(langs.filter("lang = 'fr'").select("document_id"), "document_id", "left_semi")
+    index.put(lines.withColumn("text", F.concat(F.lit("amended "), "text")), removed=langs.filter("lang = 'de'"))
+    return index
+
+
+def sr3_stored(spark, sf_dir):
+    return _index(spark, sf_dir).search(_questions(spark, sf_dir))
+
+
+def sr7_scoped(spark, sf_dir):
+    """The questions of sr7_scopes, asked in the documents that they mention."""
+    told = stored(sr7_scopes(spark, sf_dir), "scopes")
+    index = postings.Index(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    index.put(document_lines(spark, sf_dir))
+    chosen = told.filter("targets <> ''").select("query_id", F.explode(F.split("targets", ",").cast("array<long>")).alias("document_id"))
+    return index.search(told.select("query_id", "case_id", F.col("question").alias("query")), scopes=chosen)
+
+
 def sr2_index(spark, sf_dir):
     i = search.index(document_lines(spark, sf_dir))
     return i.groupBy("case_id", "term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("tf"))
@@ -132,7 +163,7 @@ def sr13_checked(spark, sf_dir):
     return answers.checked(c).select("conv_id", "turn", "repaired", "cited", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (sr3_bm25_all, sr6_citations_all, sr7_scopes_all, sr9_fallback_all, sr11_summaries_all, sr3_bm25, sr2_index, sr6_citations, sr7_scopes, sr8_excerpts, sr9_fallback, sr11_summaries, sr13_checked, sr14_last_question, sr15_history, sr16_message_cap, sr17_cosine)}
+QUERIES = {f.__name__: f for f in (sr3_bm25_all, sr6_citations_all, sr7_scopes_all, sr9_fallback_all, sr11_summaries_all, sr3_bm25, sr3_stored, sr4_phrases, sr7_scoped, sr2_index, sr6_citations, sr7_scopes, sr8_excerpts, sr9_fallback, sr11_summaries, sr13_checked, sr14_last_question, sr15_history, sr16_message_cap, sr17_cosine)}
 _TERMS = r"regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}_]{2,}')"
 _INDEX = "WITH " + DOCUMENT_LINES + f""",
 t AS (SELECT *, {_TERMS} AS t FROM lines),
@@ -165,11 +196,35 @@ def _needs(line: str) -> str:
     return rf"(regexp_matches({trim}, '[A-Za-z0-9]') AND {plain} <> '' AND NOT regexp_matches(lower({plain}), '^(inference:|insufficient evidence|caveat:)') AND NOT ({plain}[-1] = ':' AND length({plain}) <= 110) AND NOT regexp_matches({plain}, '{answers.HEADINGS}'))"
 
 
+def _scoped() -> str:
+    """BM25 with statistics over each question's own documents."""
+    return "WITH " + DOCUMENT_LINES + f""",
+s AS ({SQL["sr7_scopes"]}),
+scope AS (SELECT DISTINCT query_id, case_id, CAST(unnest(string_split(targets, ',')) AS BIGINT) AS document_id FROM s WHERE targets <> ''),
+t AS (SELECT query_id, case_id, document_id, sequence, text, {_TERMS} AS t FROM scope JOIN lines USING (case_id, document_id)),
+words AS (SELECT query_id, case_id, document_id, sequence, n AS len, term, count(*) AS tf FROM (SELECT query_id, case_id, document_id, sequence, len(t) AS n, unnest(t) AS term FROM t) GROUP BY ALL),
+corpus AS (SELECT query_id, count(*) AS n, sum(len(t)) AS total FROM t GROUP BY query_id),
+freq AS (SELECT query_id, term, count(*) AS df FROM words GROUP BY ALL),
+asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_TERMS.replace("text", "question")}) AS term FROM s) GROUP BY ALL),
+parts AS (
+  SELECT w.query_id, w.case_id, document_id, sequence, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * times * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / (total::DOUBLE / n))) AS score
+  FROM asked a JOIN freq f ON a.query_id = f.query_id AND a.term = f.term JOIN corpus c ON c.query_id = a.query_id JOIN words w ON w.query_id = a.query_id AND w.term = a.term
+  UNION ALL SELECT t.query_id, t.case_id, document_id, sequence, 2.0::DOUBLE FROM t JOIN s ON s.query_id = t.query_id AND trim(question) <> '' AND contains(replace(lower(text), 'ß', 'ss'), replace(lower(trim(question)), 'ß', 'ss'))),
+hits AS (SELECT query_id, case_id, document_id, sequence, round(sum(score), 6) AS score FROM parts GROUP BY ALL)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, case_id ORDER BY score DESC, document_id DESC, sequence DESC) AS rank FROM hits WHERE score > 0) WHERE rank <= 8"""
+
+
 _NAME_KEY = r"trim(regexp_replace(regexp_replace(lower({0}), '\.[a-z0-9]+$', ''), '[^a-z0-9]+', ' ', 'g'))"
 SQL = {
     "sr2_index": _INDEX + "SELECT case_id, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM words GROUP BY ALL",
     "sr3_bm25": _INDEX + _HITS0 + """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, case_id ORDER BY score DESC, document_id DESC, sequence DESC) AS rank FROM hits WHERE score > 0) WHERE rank <= 8""",
+    "sr3_stored": "WITH " + DOCUMENT_LINES.replace("FROM documents)", "FROM documents WHERE lang IS DISTINCT FROM 'de')").replace("lines AS (", "given AS (") + """,
+lines AS (SELECT case_id, document_id, sequence, CASE WHEN document_id IN (SELECT doc_id FROM documents WHERE lang = 'fr') THEN 'amended ' ELSE '' END || text AS text FROM given)""" + _INDEX.removeprefix("WITH " + DOCUMENT_LINES) + _HITS0 + """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, case_id ORDER BY score DESC, document_id DESC, sequence DESC) AS rank FROM hits WHERE score > 0) WHERE rank <= 8""",
+    "sr4_phrases": "WITH " + DOCUMENT_LINES + """,
+q AS (SELECT item_id, replace(lower(trim(substr(text, 3, greatest(length(text) - 4, 0)))), 'ß', 'ss') AS phrase FROM benchmark)
+SELECT item_id || '@' || case_id AS query_id, case_id, document_id, sequence FROM q JOIN lines ON phrase <> '' AND contains(replace(lower(lines.text), 'ß', 'ss'), phrase)""",
     "sr8_excerpts": r"""SELECT doc_id, CASE WHEN length(c) > 200 THEN rtrim(substr(c, 1, 197)) || '...' ELSE c END AS excerpt FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS c FROM documents)""",
     "sr14_last_question": "SELECT conv_id, arg_max(text, turn) AS query FROM conversations WHERE role = 'user' GROUP BY conv_id",
     "sr15_history": "SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS history FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 4 GROUP BY conv_id",
@@ -204,3 +259,4 @@ b AS (SELECT conv_id, turn, bool_or(""" + _needs("piece") + r""" AND NOT regexp_
 SELECT conv_id, turn, repaired, array_to_string(numbers, ',') AS cited,
   CASE WHEN repaired = '' OR len(numbers) = 0 OR numbers[1] < 1 OR numbers[-1] > sources THEN 'no valid source citations' WHEN bare THEN 'factual lines without citations' END AS rejected FROM n LEFT JOIN b USING (conv_id, turn)""",
 }
+SQL["sr7_scoped"] = _scoped()
