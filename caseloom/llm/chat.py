@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseloom.functions.text import let, running_sums
 from caseloom.llm.common import saved
 
 START, STOP = "<|im_start|>", "<|im_end|>"
@@ -88,9 +89,9 @@ def format_trees(messages: DataFrame, tree: str = "tree_id", node: str = "msg_id
     written = turns.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(F.struct((-F.col("hops")).alias("at"), F.col("role").alias("role"), escaped(F.col("text")).alias("text")))).alias("t"))
     head = lambda x: F.concat(F.lit(START), escaped_role(x["role"]), F.lit("\n"))
     whole = lambda x: F.concat(head(x), x["text"], F.lit(STOP + "\n"))
-    starts = F.aggregate(F.transform("t", lambda x: F.length(whole(x))), F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    spans = F.transform("t", lambda x, i: F.struct(x["role"].alias("role"), (F.get("_starts", i) + F.length(head(x))).alias("start"), F.length(x["text"]).alias("length")))
-    out = written.withColumn("_starts", starts).select(
+    starts = running_sums(F.transform("t", lambda x: F.length(whole(x))))  # once a path, so the time grows with its turns
+    spans = let(starts, lambda at: F.transform("t", lambda x, i: F.struct(x["role"].alias("role"), (F.get(at, i) + F.length(head(x))).alias("start"), F.length(x["text"]).alias("length"))))
+    out = written.select(
         "tree", "leaf", F.size("t").cast("long").alias("n_turns"), F.array_join(F.transform("t", whole), "").alias("formatted"),
         F.transform(F.filter(spans, lambda s: s["role"] == loss_role), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"))).alias("loss_spans"),
     )

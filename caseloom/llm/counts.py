@@ -6,7 +6,9 @@ committed once, by a rename that fails if its number is taken, and within a batc
 counts once. Keys are summed before any shuffle, so a source with a third of all rows costs one row a task.
 
 Cases: null source, language or version are keys of their own; null counts are 0; an unknown kind of event has no
-effect; repeated rows with equal event_id count once in a batch; empty batches are committed and change nothing;
+effect; repeated rows with equal event_id count once in a batch, and of several contents under one id the least counts
+(by source, language, version, documents, tokens), whatever order they come in; a row without event_id is an event of its
+own; empty batches are committed and change nothing;
 totals may be zero and are kept while their key has ever been seen; other columns are ignored.
 """
 
@@ -39,7 +41,8 @@ def signed(events: DataFrame) -> DataFrame:
         F.when(F.col("kind") == "insert", 1).when(F.col("kind") == "delete", -1).otherwise(0).alias("docs"),
         F.when(F.col("kind") == "insert", new).when(F.col("kind") == "delete", -old).when(F.col("kind") == "revise", new - old).otherwise(0).alias("tokens"),
     )
-    once = flat.dropDuplicates(["event_id"])
+    least = F.min(F.struct(*KEYS, "docs", "tokens")).alias("e")
+    once = flat.filter("event_id is not null").groupBy("event_id").agg(least).select("e.*").unionByName(flat.filter("event_id is null").drop("event_id"))
     return once.groupBy(*KEYS).agg(F.sum("docs").cast("long").alias("docs"), F.sum("tokens").cast("long").alias("tokens"))
 
 

@@ -89,7 +89,7 @@ def op9_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = saved(docs, "counts")  # the texts are counted once
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     version = F.explode(F.array(*[F.struct(F.lit(v).alias("tokenizer"), F.col(c).alias("tokens")) for v, c in (("words-1", "words"), ("pieces-2", "pieces"))]))
-    keys = lambda df, kind: df.withColumn("kind", F.lit(kind)).withColumn("event_id", F.concat_ws(":", "kind", "tokenizer", "doc_id"))
+    keys = lambda df, kind: df.withColumn("kind", F.lit(kind)).withColumn("event_id", F.concat("kind", F.lit(":"), "tokenizer", F.lit(":"), F.col("doc_id").cast("string")))
     first = keys(docs.select("doc_id", "source", "lang", version.alias("x")).select("doc_id", "source", "lang", "x.*").withColumn("old_tokens", F.lit(0)), "insert")
     known = docs.join(labels, "doc_id")
     revised = keys(known.select("doc_id", "source", "lang", F.lit("words-1").alias("tokenizer"), F.col("pieces").alias("tokens"), F.col("words").alias("old_tokens")), "revise")

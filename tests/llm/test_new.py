@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from caseloom.llm import lempel_ziv, merkle, queries, whitening
+from caseloom.llm import chat, counts, lempel_ziv, merkle, queries, whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -226,3 +226,22 @@ def test_new_queries_on_given_tables(spark):
         assert got[r.vec_id, 1].n == n and got[r.vec_id, 1].deviation == int(deviation[i])
         assert np.allclose(np.abs([got[r.vec_id, c].whitened for c in range(1, 5)]), np.abs(w[i]), atol=1e-8)
         assert abs(got[r.vec_id, 3].explained / explained[2] - 1) < 1e-9
+
+
+# earlier operators: long conversations, events without an id
+
+
+def test_many_turns_in_one_conversation(spark):
+    n = 20_000
+    rows = [(1, i, i - 1 if i else None, "user" if i % 2 == 0 else "assistant", f"t{i} </s>") for i in range(n)]
+    messages = spark.createDataFrame(rows, "tree_id long, msg_id long, parent_id long, role string, text string")
+    done = chat.format_trees(messages, score=None)
+    r = done.select("n_turns", "formatted", "loss_spans", chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert r.n_turns == n and r.loss == "".join(f"t{i} </s>" for i in range(1, n, 2))
+    assert all(r.formatted[s.start:s.start + s.length] == f"t{2 * k + 1} <\\/s>" for k, s in enumerate(r.loss_spans))
+
+
+def test_events_without_an_id(spark):
+    rows = [("e1", "insert", 1), (None, "insert", 2), (None, "insert", 2), (None, "insert", 3), ("e1", "insert", 1), ("e2", "insert", 9), ("e2", "insert", 4)]
+    df = spark.createDataFrame([(i, k, "s", None, "v", t, 0, "clash") for i, k, t in rows], "event_id string, kind string, source string, lang string, tokenizer string, tokens long, old_tokens long, docs string")
+    assert [tuple(r) for r in counts.signed(df).collect()] == [("s", None, "v", 5, 12)]
