@@ -145,39 +145,68 @@ def validated(content: Column, name: Column, declared: Column) -> Column:
     return F.struct(F.when(problem.isNull(), kind).alias("kind"), problem.alias("reason"))
 
 
+def _decoded(content: bytes | None) -> str | None:
+    if content is None:
+        return None
+    for name in ("utf-8-sig", "utf-16"):
+        try:
+            return bytes(content).decode(name)
+        except UnicodeDecodeError:
+            continue
+    return bytes(content).decode("cp1252", "replace")
+
+
 @F.pandas_udf(T.StringType())
 def decoded(content: pd.Series) -> pd.Series:
     """Text by the first of UTF-8 (with or without mark), UTF-16 and Windows-1252 that fits."""
+    return content.map(_decoded)
 
-    def one(b):
-        if b is None:
-            return None
-        for name in ("utf-8-sig", "utf-16"):
-            try:
-                return bytes(b).decode(name)
-            except UnicodeDecodeError:
-                continue
-        return bytes(b).decode("cp1252", "replace")
 
-    return content.map(one)
+def _csv_rows(text: str | None) -> list[list[str]] | None:
+    if text is None:
+        return None
+    csv.field_size_limit(MOST_BYTES)
+    out = []
+    try:
+        for row in csv.reader(io.StringIO(text, newline="")):
+            out.append([" ".join(c.split()) for c in row])
+    except csv.Error:  # a text that isn't CSV from some row on: its lines as they are
+        return out + [[" ".join(line.split())] for line in text.splitlines()[len(out):]]
+    return out
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def csv_rows(text: pd.Series) -> pd.Series:
-    """The rows of a CSV text, of any width, with white space in cells collapsed."""
-    return text.map(lambda t: None if t is None else [[" ".join(c.split()) for c in row] for row in csv.reader(io.StringIO(t))])
+    """The rows of a CSV text, of any width, with white space in cells collapsed; cells may be as long as a file. Where
+    the reader fails, the rows before stay, and each line from there on is one cell."""
+    return text.map(_csv_rows)
+
+
+def _email_parts(content: bytes | None) -> tuple[str, str, int]:
+    m = email.message_from_bytes(bytes(content or b""), policy=email.policy.default)
+
+    def header(name: str) -> str:
+        try:
+            return str(m.get(name, ""))
+        except (LookupError, ValueError, IndexError, AttributeError, TypeError):  # a header that can't be parsed
+            return ""
+
+    body = m.get_body(preferencelist=("plain",)) if m.is_multipart() else m
+    try:
+        text = body.get_content() if body else ""
+    except KeyError:  # no kind of content that can be read
+        text = ""
+    except (LookupError, ValueError):  # an unknown charset or encoding: read as other files are
+        raw = body.get_payload(decode=True)
+        text = _decoded(raw) if isinstance(raw, bytes) else str(body.get_payload())
+    return "\n".join(f"{h}: {header(h)}" for h in ("From", "To", "Cc", "Date", "Subject")), text if isinstance(text, str) else "", len(list(m.iter_attachments())) if m.is_multipart() else 0
 
 
 @F.pandas_udf(T.StructType().add("header", "string").add("body", "string").add("attachments", "integer"))
 def email_parts(content: pd.Series) -> pd.DataFrame:
-    """The main headers (empty where there are none), the plain text and the number of attachments of an e-mail."""
-    out = []
-    for b in content:
-        m = email.message_from_bytes(bytes(b or b""), policy=email.policy.default)
-        body = m.get_body(preferencelist=("plain",)) if m.is_multipart() else m
-        text = body.get_content() if body else ""
-        out.append(("\n".join(f"{h}: {m.get(h, '')}" for h in ("From", "To", "Cc", "Date", "Subject")), text if isinstance(text, str) else "", len(list(m.iter_attachments()))))
-    return pd.DataFrame(out, columns=["header", "body", "attachments"])
+    """The main headers (empty where there are none or they can't be read), the plain text and the number of attachments
+    of an e-mail. A text in an unknown charset is decoded as other files are."""
+    return pd.DataFrame([_email_parts(b) for b in content], columns=["header", "body", "attachments"])
 
 
 def email_blocks(mails: DataFrame) -> DataFrame:

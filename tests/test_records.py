@@ -17,6 +17,7 @@ from caseloom.operators import filing as filing_ops
 from caseloom.plans import complaints, filing, governance, records, registry, reports
 from caseloom.plans import search as search_plans
 from caseloom.sources import files
+from caseloom.sources.parts import Parts
 from caseloom.sources.views import require_one_case
 from caseloom.streaming import events
 
@@ -217,10 +218,11 @@ def test_streams(spark, tmp_path):
     assert {r.job_id for r in run(events.stale_jobs(stream()), "append", "stale")} == {1, 2}
     counts = run(events.rate_counts(stream().withColumnsRenamed({"job_id": "user_id", "status": "bucket"}), 60), "append", "rates")
     assert sum(r.n for r in counts) == 6
-    up = df.select(F.lit("t").alias("tenant_id"), F.lit("c").alias("case_id"), F.col("job_id").cast("string").alias("sha256"))
-    for n in (0, 1):
-        events.append_new(f"{tmp_path}/manifest")(up, n)
-    assert spark.read.parquet(f"{tmp_path}/manifest").count() == 3
+    up = df.select(F.lit("t").alias("tenant_id"), F.lit("c").alias("case_id"), F.col("job_id").cast("string").alias("sha256"), F.col("sequence").alias("upload_id"))
+    manifest = Parts(spark, f"{tmp_path}/manifest")
+    for n in (0, 1, 1, 0):
+        events.append_new(manifest)(up, n)
+    assert manifest.numbers() == [0, 1] and sorted((r.sha256, r.upload_id, r._part) for r in manifest.read("uploads", events.UPLOADS).collect()) == [("1", 0, 0), ("2", 0, 0), ("3", 0, 0)]
     assert threading.active_count() < 100
 
 
