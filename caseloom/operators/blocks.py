@@ -23,11 +23,28 @@ def ocr_blocks(words: DataFrame) -> DataFrame:
     )
 
 
-def outside_tables(blocks: DataFrame, tables: DataFrame, share: float = 0.55) -> DataFrame:
-    """Blocks of which no table box of the same page covers the share or more."""
-    t = tables.select("version_id", "page_number", *[F.col(c).alias(f"t_{c}") for c in ("x0", "y0", "x1", "y1")])
-    width = F.greatest(F.least("x1", "t_x1") - F.greatest("x0", "t_x0"), F.lit(0.0))
-    height = F.greatest(F.least("y1", "t_y1") - F.greatest("y0", "t_y0"), F.lit(0.0))
-    area = F.greatest((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), F.lit(1e-9))
-    covered = blocks.join(t, ["version_id", "page_number"]).filter(width * height / area >= share).select("version_id", "page_number", "block_num").distinct()
-    return blocks.join(covered, ["version_id", "page_number", "block_num"], "left_anti")
+BOX = ("x0", "y0", "x1", "y1")
+
+
+def _in_cells(boxes: DataFrame, size: float, prefix: str = "") -> DataFrame:
+    """A row for each grid cell (cx, cy) that a box touches; boxes turned inside out or without a corner touch none."""
+    x0, y0, x1, y1 = (F.col(prefix + c) for c in BOX)
+    at = lambda v: F.floor(v / size)
+    whole = boxes.filter((x0 <= x1) & (y0 <= y1))
+    return whole.withColumn("cx", F.explode(F.sequence(at(x0), at(x1)))).withColumn("cy", F.explode(F.sequence(at(y0), at(y1))))
+
+
+def outside_tables(blocks: DataFrame, tables: DataFrame, share: float = 0.55, cell: float = 128.0) -> DataFrame:
+    """Blocks of which no table box of the same page covers the share or more.
+
+    Boxes meet by the cells of a grid over the page, so that a block is compared with the tables near it; a pair that
+    shares several cells counts in the one where its overlap begins. Blocks without a box or an area stay."""
+    keys = ["version_id", "page_number"]
+    near = _in_cells(blocks.select(*keys, "block_num", *BOX), cell)
+    t = _in_cells(tables.select(*keys, *[F.col(c).alias(f"t_{c}") for c in BOX]), cell, "t_")
+    left, top = F.greatest("x0", "t_x0"), F.greatest("y0", "t_y0")
+    width, height = F.greatest(F.least("x1", "t_x1") - left, F.lit(0.0)), F.greatest(F.least("y1", "t_y1") - top, F.lit(0.0))
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    begins = (F.floor(left / cell) == F.col("cx")) & (F.floor(top / cell) == F.col("cy"))
+    covered = near.join(t, [*keys, "cx", "cy"]).filter(begins & (area > 0) & (width * height / area >= share)).select(*keys, "block_num").distinct()
+    return blocks.join(covered, [*keys, "block_num"], "left_anti")
