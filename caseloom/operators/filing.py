@@ -82,6 +82,11 @@ def objections(document: Column, sections: Column) -> Column:
     return F.filter(F.array(blank, missing), lambda x: x.isNotNull())
 
 
+def merged(own: Column, others: Column, most: int = 4) -> Column:
+    """A clerk's own objections (two at most), then others', each once in this order, and the first four of them."""
+    return F.slice(F.array_distinct(F.concat(F.slice(own, 1, 2), F.coalesce(others, F.array().cast("array<string>")))), 1, most)
+
+
 def slug(text: Column) -> Column:
     return F.substring(F.regexp_replace(F.trim(F.regexp_replace(F.lower(text), r"[^a-zA-Z0-9\s]", "")), r"\s+", "_"), 1, 50)
 

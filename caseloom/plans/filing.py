@@ -45,6 +45,13 @@ def pt4_objections(spark, sf_dir):
     return _drafts(spark, sf_dir).select("complaint_id", F.array_join(filing.objections(F.col("document"), F.col("sections")), " | ").alias("objections"))
 
 
+def pt4_merged(spark, sf_dir):
+    """The clerk's objections and a reviewer's, of which one may say the same."""
+    own = filing.objections(F.col("document"), F.col("sections"))
+    said = F.array(F.lit("Name the officer"), F.coalesce(F.get(own, F.lit(0)), F.lit("Sign each page")), F.lit("Attach the receipt"), F.lit("Name the officer"), F.lit("State the date"))
+    return _drafts(spark, sf_dir).select("complaint_id", F.array_join(filing.merged(own, F.slice(said, 1, (F.col("complaint_id") % 6).cast("int"))), " | ").alias("objections"))
+
+
 def pt5_filings(spark, sf_dir):
     return filing.filings(_drafts(spark, sf_dir)).select("complaint_id", "title", F.array_join("gap_fields", ",").alias("gap_fields"), "status", "confidence", "instructions")
 
@@ -56,7 +63,7 @@ def pt7_votes(spark, sf_dir):
     return filing.mediator_votes(rounds, "l_orderkey")
 
 
-QUERIES = {f.__name__: f for f in (tr4_dates, tr5_entities, tr6_context, pt4_objections, pt5_filings, pt7_votes)}
+QUERIES = {f.__name__: f for f in (tr4_dates, tr5_entities, tr6_context, pt4_objections, pt4_merged, pt5_filings, pt7_votes)}
 
 
 def _sql() -> dict[str, str]:
@@ -95,6 +102,7 @@ g AS (SELECT *, list_concat(list_transform(objections, lambda x: substr(regexp_r
         "tr5_entities": head + f"SELECT complaint_id, case_type, CASE case_type {whens} ELSE {made(filing.OTHER)} END AS entities FROM c",
         "tr6_context": head + "SELECT complaint_id, array_to_string(sections, '; ') AS sections, office AS authority, portal, array_to_string(documents, '; ') AS documents FROM d",
         "pt4_objections": head + "SELECT complaint_id, array_to_string(objections, ' | ') AS objections FROM o",
+        "pt4_merged": head + "SELECT complaint_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:4], ' | ') AS objections FROM (SELECT complaint_id, list_concat(objections[1:2], (['Name the officer', coalesce(objections[1], 'Sign each page'), 'Attach the receipt', 'Name the officer', 'State the date'])[1:complaint_id % 6]) AS l FROM o)",
         "pt5_filings": head + f"SELECT complaint_id, sections[1] || ' — ' || {named(chr(39) + chr(39) + ' || replace(case_type, ' + q('_') + ', ' + q(' ') + ')')} || ' Application' AS title, array_to_string(fields, ',') AS gap_fields, CASE WHEN len(fields) > 0 THEN 'annotated' ELSE 'hardened' END AS status, CASE WHEN len(fields) = 0 THEN 0.9::DOUBLE ELSE greatest(0.4::DOUBLE, round(0.9::DOUBLE - 0.1::DOUBLE * len(fields), 6)) END AS confidence, 'File this document at: ' || office || '. Portal / Office: ' || portal || '. Documents to attach: ' || array_to_string(documents, ', ') || '.' AS instructions FROM g",
         "pt7_votes": """
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) AS r, (l_quantity % 11 + l_partkey % 11 + l_suppkey % 11) / 3.0::DOUBLE AS overall, ['Name the officer', 'Attach the receipt'][1:l_partkey % 3] AS unresolved FROM lineitem)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from caseloom.operators import blocks, corpus_quality
-from caseloom.sources.files import csv_rows
-from caseloom.sources.views import spread, table
+from caseloom.sources import files
+from caseloom.sources.views import shared_folder, spread, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -60,10 +62,36 @@ def qa2_corpus(spark, sf_dir):
         F.array(F.lit("SUPPLIER"), F.element_at(F.element_at("r", 1)["cells"], 1)).alias("fragments"), F.transform("r", lambda x: x["cells"]).alias("expected_table"),
         F.transform(F.sequence(F.lit(0), F.floor((F.size("r") - 1) / 3)), lambda p: F.struct(F.when((F.col("id") % 23 == 0) & (p == 0), "none").otherwise("text").alias("method"), F.when(F.col("id") % 29 == 0, 1.2).otherwise(0.9).alias("confidence"))).alias("pages"),
     )
-    return corpus_quality.evaluated(spread(d).withColumn("table", csv_rows("text")), "o_orderpriority")
+    return corpus_quality.evaluated(spread(d).withColumn("table", files.csv_rows("text")), "o_orderpriority")
+
+
+def _files(spark, sf_dir) -> str:
+    """A folder of text files, each with the texts of up to a hundred documents of a source, a line end after each."""
+    folder = f"{shared_folder(spark)}/originals-{uuid.uuid4().hex}"
+    d = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("-")).alias("source"), F.floor(F.col("doc_id") / 100).alias("bucket"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    dealt = d.repartition("source", "bucket").sortWithinPartitions("source", "bucket", "doc_id")
+    dealt.drop("doc_id").write.partitionBy("source", "bucket").text(folder)
+    return folder
+
+
+def _named(files_):
+    part = lambda key: F.regexp_extract("path", f"/{key}=([^/]+)/", 1)
+    return files_.withColumn("source", part("source")).withColumn("bucket", part("bucket").cast("long"))
+
+
+def src1_originals(spark, sf_dir):
+    """Files by hash, size, format and what they read like."""
+    found = _named(files.scanned_originals(spark, _files(spark, sf_dir)))
+    return found.select("source", "bucket", "size", "sha256", "format", F.col("kind").isNotNull().cast("string").alias("is_text"), F.md5("head").alias("head_md5"))
+
+
+def src2_decoded(spark, sf_dir):
+    """The files' texts, decoded, by length and digest."""
+    found = _named(files.load_originals(spark, _files(spark, sf_dir)).filter("accepted"))
+    return found.select("source", "bucket", files.decoded("content").alias("t")).select("source", "bucket", F.length("t").cast("long").alias("chars"), F.md5("t").alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (blk9_outside, blk10_ocr, qa2_corpus)}
+QUERIES = {f.__name__: f for f in (src1_originals, src2_decoded, blk9_outside, blk10_ocr, qa2_corpus)}
 
 _PARAGRAPHS = r"""
 WITH w AS (SELECT doc_id, unnest(l) AS text, unnest(range(0, len(l))) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents)),
@@ -74,7 +102,10 @@ p AS (
          min("left" * (612 / 1000.0::DOUBLE)) AS x0, min(top * (792 / 1300.0::DOUBLE)) AS y0, max(("left" + width) * (612 / 1000.0::DOUBLE)) AS x1, max((top + height) * (792 / 1300.0::DOUBLE)) AS y1
   FROM o WHERE conf >= 0 GROUP BY ALL)
 """
+_ORIGINALS = "WITH f AS (SELECT coalesce(source, '-') AS source, doc_id // 100 AS bucket, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS t FROM documents GROUP BY ALL) "
 SQL = {
+    "src1_originals": _ORIGINALS + "SELECT source, bucket, CAST(strlen(t) AS BIGINT) AS size, sha256(t) AS sha256, 'text' AS format, CASE WHEN length(trim(t, chr(10) || ' ' || chr(9) || chr(13))) > 0 THEN 'true' ELSE 'false' END AS is_text, md5(encode(t)[1:65536]) AS head_md5 FROM f",
+    "src2_decoded": _ORIGINALS + "SELECT source, bucket, length(t) AS chars, md5(t) AS text_md5 FROM f",
     "blk10_ocr": _PARAGRAPHS + "SELECT version_id, page_number, block_num, md5(text) AS text_md5, confidence, x0, y0, x1, y1 FROM p",
     "blk9_outside": _PARAGRAPHS + """,
 t AS (SELECT version_id, page_number, x0, y0, x0 + 400 AS x1, y0 + 200 + t * 60 AS y1 FROM (

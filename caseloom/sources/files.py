@@ -42,6 +42,18 @@ def load_originals(spark: SparkSession, path: str, most: int = MOST_BYTES) -> Da
     return own.unionByName(large)
 
 
+def scanned_originals(spark: SparkSession, path: str, head: int = 65_536, most: int = MOST_BYTES) -> DataFrame:
+    """path, size, sha256, format, kind, head, accepted: what is known of files without their contents, which are hashed
+    and looked at where they are read, and don't go on in the rows (zip archives' go to the check of their members)."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    own = raw.filter(F.col("length") <= most).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), detected_format(F.col("content"), name).alias("format"), F.substring("content", 1, head).alias("head"))
+    own = own.select("path", "size", "sha256", "format", _text_kind("head").alias("kind"), "head", F.lit(True).alias("accepted"))
+    null = lambda t: F.lit(None).cast(t)
+    large = raw.filter(F.col("length") > most).select("path", F.col("length").alias("size"), null("string").alias("sha256"), null("string").alias("format"), null("string").alias("kind"), null("binary").alias("head"), F.lit(False).alias("accepted"))
+    return own.unionByName(large)
+
+
 def _starts(content: Column, *heads: str) -> Column:
     out = F.lit(False)
     for h in heads:
