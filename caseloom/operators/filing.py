@@ -77,6 +77,7 @@ def objections(document: Column, sections: Column) -> Column:
     n = F.regexp_count(document, F.lit(r"\[.+? — Please Fill\]"))
     words = F.filter(F.split(F.trim(F.regexp_replace(F.get(sections, F.lit(0)), r"[^\p{L}\p{N}_\s]", "")), r"\s+"), lambda w: w != "")
     cited = F.exists(words, lambda w: (F.length(w) > 2) & F.contains(document, w))
+    #: The texts of the two objections.
     blank = F.when(n > 0, F.concat(n.cast("string"), F.lit(" mandatory field(s) are blank and marked 'Please Fill' — application cannot be processed until these are completed")))
     missing = F.when((F.size(words) > 0) & ~cited, F.concat(F.lit("Applicable legal section '"), F.get(sections, F.lit(0)), F.lit("' does not appear to be cited in the document")))
     return F.filter(F.array(blank, missing), lambda x: x.isNotNull())

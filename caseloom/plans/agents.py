@@ -75,8 +75,12 @@ STATES = [*STAGES, "completed", "failed"]
 GATES = {"parse_success_rate": 0.90, "expected_fragment_recall": 0.80, "structured_table_recall": 0.90, "page_diagnostic_coverage": 0.95}
 
 
+#: How a question asks what to ask a lawyer.
+ASKS_LAWYER = r"(?i)\b(ask|question|questions)\b.*\blawyer\b|\blawyer\b.*\b(ask|question|questions)\b"
+
+
 def asks_lawyer(query: Column) -> Column:
-    return query.rlike(r"(?i)\b(ask|question|questions)\b.*\blawyer\b|\blawyer\b.*\b(ask|question|questions)\b")
+    return query.rlike(ASKS_LAWYER)
 
 
 def role_answer(role: Column, query: Column, summary: Column, sources: Column) -> Column:
@@ -105,6 +109,7 @@ def trace(role: Column, sources: Column, review: Column) -> Column:
     step = lambda agent, status, told: F.struct(agent.alias("agent"), status.alias("status"), told.alias("summary"))
     done = lambda bad: F.when(bad, "needs_review").otherwise("complete")
     final = F.element_at(F.create_map(*[F.lit(x) for kv in FINAL.items() for x in kv]), role)
+    #: The agents' names and summaries.
     return F.array(
         step(F.lit("Query router"), F.lit("complete"), F.concat(F.lit("Routed the question to the "), role, F.lit(" answer lens."))),
         step(F.lit("Extractor agent"), done(sources == 0), F.concat(F.lit("Selected "), sources.cast("string"), F.lit(" usable source card(s) from the uploaded record."))),

@@ -75,12 +75,21 @@ def rs1_allowed_urls(spark, sf_dir):
 # -- requests, audit and jobs ----------------------------------------------------------------------------------------
 
 
+#: What is taken out, in this order, and what stands there instead.
+REDACTED = [
+    (r"(?i)bearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]"),
+    (r"\b[A-Z]{5}[0-9]{4}[A-Z]\b", "[REDACTED-PAN]"),
+    (r"\b\d{4}[ -]?\d{4}[ -]?\d{4}\b", "[REDACTED-ID]"),
+    (r"(?<!\d)(?:\+91[ -]?)?[6-9]\d{9}(?!\d)", "[REDACTED-PHONE]"),
+    (r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", "[REDACTED-EMAIL]"),
+]
+
+
 def redacted(text):
     """Tokens, tax ids, national ids, phones and e-mails taken out, in this order."""
-    out = F.regexp_replace(text, r"(?i)bearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]")
-    for pattern, name in ((r"\b[A-Z]{5}[0-9]{4}[A-Z]\b", "PAN"), (r"\b\d{4}[ -]?\d{4}[ -]?\d{4}\b", "ID"), (r"(?<!\d)(?:\+91[ -]?)?[6-9]\d{9}(?!\d)", "PHONE"), (r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", "EMAIL")):
-        out = F.regexp_replace(out, pattern, f"[REDACTED-{name}]")
-    return out
+    for pattern, instead in REDACTED:
+        text = F.regexp_replace(text, pattern, instead)
+    return text
 
 
 def gv1_redacted(spark, sf_dir):
