@@ -15,11 +15,13 @@ Runs of digit groups are read as cards in their usual groups first (so an expiry
 taken for a part of it), then in any groups; an IBAN or phone that fails whole is read up to an earlier group. Where
 nothing at a place is valid as one kind, the other kinds and then the next places are tried.
 
-Cases: null stays null, empty stays empty; values that fail validation are left alone; repeated rows are treated
+Cases: null stays null, empty stays empty; values that fail validation or have other digits than 0 to 9 are left alone; repeated rows are treated
 alike; an empty table gives an empty table; all other columns are kept by `pseudonymised`. Whole texts are searched.
 Where groups can be read in several ways, or a find touches other characters of such formats, a pseudonym that would be
 read in another way is permuted once more, so that `restore` finds it; there alone equal values may get other
-pseudonyms. Texts with over WALKED finds go without this.
+pseudonyms. Only the cell around such a find is read again: a text is cut wherever no find can reach across, whatever
+the pseudonyms (at most white space and punctuation, and between groups of digits that no valid card spans), so time is
+in proportion to a text's length, however many finds it has; in one cell it grows with finds times its length.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ import datetime as dt
 import hashlib
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -56,10 +59,19 @@ _ORDER = list(_KINDS)
 _ONE = {k: re.compile(p) for k, p in _KINDS.items()}
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _KINDS.items()))
 _REST = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _KINDS.items() if k != "card"))
-_RUN, _GROUP = re.compile(r"\d+(?:[ -]\d+)*"), re.compile(r"\d+")
+#: Groups of digits; after a space, what has the form of a date, ssn or phone number begins another run.
+_RUN = re.compile(r"\d+(?:(?:-| (?!(?:\d{4}-\d\d-\d\d|\d{3}-\d\d-\d{4}|\d{3}-\d{3}-\d{4})(?![\d-])))\d+)*")
+_GROUP = re.compile(r"\d+")
 #: Groups of digits as cards are written; the first that holds wins.
 _SHAPES = [(4, 4, 4, 4), (4, 6, 5), (4, 6, 4)]
-PIECE, WALKED = 64, 200
+PIECE = 64
+#: Where texts may be cut, a value after = or : (in which punctuation is no cut), and what may begin finds with spaces.
+_CUT = re.compile(r"""[<>]|(?<![=:])(?<![=:].)[\s"'](?![=:]|.[=:])|[,;|!?#&*\[\]{}]""", re.S)
+_VALUE = re.compile(r"""(?:[=:]\s?["']?[^\s"'<>=:]*)+""")
+_NUMBERS = re.compile(r"\d \d")
+_SPACED, _ENDS, _BEGINS = re.compile(r"[+(A-Z]"), re.compile(r"[A-Z\d)]"), re.compile(r"[A-Z\d(]")
+#: Characters that a card can reach: 19 digits and what stands between them.
+REACH = 40
 #: What may stand beside a find and be read with its pseudonym.
 _GLUED, _BEFORE = re.compile(r"[\w/@-]|\.\w"), frozenset("_.+/@-")
 _FIRST, _DAYS = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal() - dt.date(1900, 1, 1).toordinal() + 1
@@ -148,6 +160,13 @@ def _by_class(value: str, key: bytes, tweak: str, back: bool) -> str:
             return value
 
 
+def _form(day: str, month: str) -> str:
+    """How a day and its month are written: with two digits each, without zeros in front, or one of both ways."""
+    if len(day) == len(month) == 2:
+        return "wide"
+    return "day" if day[0] == "0" else "month" if month[0] == "0" else "narrow"
+
+
 def _date(day: str, month: str, year: str, key: bytes, back: bool) -> dt.date | None:
     try:
         at = dt.date(int(year), int(month), int(day)).toordinal() - _FIRST
@@ -158,6 +177,8 @@ def _date(day: str, month: str, year: str, key: bytes, back: bool) -> dt.date |
 
 def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> tuple[str, str] | None:
     """(kind, pseudonym) of a found value, or None if it fails validation."""
+    if kind not in ("password", "email") and not value.isascii():
+        return None  # other digits than 0 to 9
     digits = re.sub(r"\D", "", value)
     if kind == "email":
         local, _, domain = value.partition("@")
@@ -200,9 +221,13 @@ def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> tuple[st
         return new and ("date", new.isoformat())
     if kind == "dmy":
         d, m, y = value.split("/")
-        new = _date(d, m, y, key, back)
-        wide = len(d) == 2 and len(m) == 2
-        return new and ("date", f"{new.day:02d}/{new.month:02d}/{new.year}" if wide else f"{new.day}/{new.month}/{new.year}")
+        form, wide = _form(d, m), _form(d, m) == "wide"
+        zeros = [2 if wide or x[0] == "0" else 1 for x in (d, m)]
+        while new := _date(d, m, y, key, back):  # days that are written otherwise are permuted again
+            d, m, y = f"{new.day:0{zeros[0]}d}", f"{new.month:0{zeros[1]}d}", str(new.year)
+            if _form(d, m) == form:
+                return "date", f"{d}/{m}/{y}"
+        return None
     if kind == "ssn":
         area, group, serial = (int(x) for x in value.split("-"))
         valid = lambda a: a not in (0, 666) and a < 900
@@ -238,6 +263,8 @@ def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> tuple[st
 
 def valid(kind: str, value: str) -> bool:
     """Whether a find's digits, dates and check sums hold."""
+    if kind in ("iban", "card") and not value.isascii():
+        return False
     if kind == "iban":
         plain = value.replace(" ", "")
         return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
@@ -247,22 +274,27 @@ def valid(kind: str, value: str) -> bool:
     return kind in ("email", "aws") or pseudonym(kind, value, b"0" * 32) is not None
 
 
-def _cards(text: str, start: int) -> tuple[list[tuple[int, int]], int, bool]:
-    """The cards in the run of digit groups at start, the run's end, and whether it can be read in several ways."""
-    run = _RUN.match(text, start)
-    groups = [g.span() for g in _GROUP.finditer(text, start, run.end())]
-    size = [b - a for a, b in groups]
-    tried = []
+def _readings(groups: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+    """First and last of neighbouring groups that have as many digits as a card, and how many."""
     for i in range(len(groups)):
         n = 0
         for j in range(i, len(groups)):
-            n += size[j]
+            n += groups[j][1] - groups[j][0]
             if n > 19:
                 break
             if n >= 13:
-                shape = tuple(size[i:j + 1])
-                rank = _SHAPES.index(shape) if shape in _SHAPES else len(_SHAPES) + (len(shape) > 1)
-                tried.append((rank, i, -n, j))
+                yield i, j, n
+
+
+def _cards(text: str, start: int) -> tuple[list[tuple[int, int]], int, bool]:
+    """The cards in the run of digit groups at start, the run's end, and whether it can be read in several ways."""
+    run = _RUN.match(text, start)
+    groups = [g.span() for g in _GROUP.finditer(text, start, run.end())]
+    tried = []
+    for i, j, n in _readings(groups):
+        shape = tuple(b - a for a, b in groups[i:j + 1])
+        rank = _SHAPES.index(shape) if shape in _SHAPES else len(_SHAPES) + (len(shape) > 1)
+        tried.append((rank, i, -n, j))
     taken, out = set(), []
     for _, i, _, j in sorted(tried):
         at = groups[i][0], groups[j][1]
@@ -325,22 +357,70 @@ def finds(text: str, at: int = 0, end: int | None = None, cards: bool = True) ->
         at = here[-1][2] if here else start + 1
 
 
-def _walked(text: str, found: list[tuple[str, int, int]], key: bytes, back: bool) -> tuple[str, list[tuple[str, int, int]]]:
-    """The text with pseudonyms that are read at the same places, one after the other (or back from the last)."""
+def _crossed(text: str, at: int = 0, end: int | None = None) -> set[int]:
+    """Places between groups of digits that a valid card, as some reading has it, spans."""
+    out: set[int] = set()
+    for run in _RUN.finditer(text, at, len(text) if end is None else end):
+        groups = [g.span() for g in _GROUP.finditer(text, run.start(), run.end())]
+        for i, j, _ in _readings(groups):
+            if j > i and valid("card", text[groups[i][0]:groups[j][1]]):
+                out.update(b for _, b in groups[i:j])
+    return out
+
+
+def _cells(text: str) -> list[int]:
+    """The places where the text is cut, from 0 to its end. Neither a find nor what it depends on reaches across one."""
+    cuts, values, hard, spaces = [], iter(_VALUE.finditer(text)), 0, []
+    value = next(values, None)
+
+    def close(end: int) -> None:
+        """Between groups of digits, up to the next cut, where nothing with spaces but a card may stand."""
+        if spaces:
+            other, crossed = _SPACED.search(text, hard, end), _crossed(text, hard, end)
+            cuts.extend(p for p in spaces if (other is None or p < other.start()) and p not in crossed)
+            spaces.clear()
+
+    for m in _CUT.finditer(text):
+        p = m.start()
+        if text[p] == " " and p and _ENDS.match(text, p - 1) and _BEGINS.match(text, p + 1):
+            if text[p - 1].isdecimal() and text[p + 1].isdecimal():
+                spaces.append(p)
+            continue
+        if text[p] not in "<>\"'" and not text[p].isspace():
+            while value and value.end() <= p:
+                value = next(values, None)
+            if value and value.start() < p:
+                continue
+        close(p)
+        cuts.append(p)
+        hard = p
+    close(len(text))
+    return [0] * (not cuts or cuts[0] > 0) + cuts + [len(text)]
+
+
+def _walked(text: str, found: list[tuple[str, int, int]], key: bytes, back: bool, left: str, right: str) -> tuple[str, list[tuple[str, int, int]]]:
+    """A cell between left and right, with pseudonyms that are read at the same places and leave its cuts where they
+    are, one after the other (or back from the last)."""
     for i in reversed(range(len(found))) if back else range(len(found)):
         kind, start, end = found[i]
-        x = text[start:end]
+        x, n = text[start:end], len(left)
+        spans = {p for p in _crossed(left + text + right) if n <= p <= n + len(text)}
         while got := pseudonym(kind, x, key, back):
             x = got[1]
             shift = len(x) - (end - start)
             new = text[:start] + x + text[end:]
             moved = found[:i] + [(kind, start, end + shift)] + [(k, a + shift, b + shift) for k, a, b in found[i + 1:]]
-            if finds(new)[0] == moved:
+            crossed = {p - shift * (p >= n + end + shift) for p in _crossed(left + new + right) if n <= p <= n + len(new)}
+            if crossed == spans and finds(new)[0] == moved:
                 text, found = new, moved
                 break
     return text, found
 
 
+def _touched(text: str, found: list[tuple[str, int, int]]) -> bool:
+    return any(_GLUED.match(text, e) or (a and text[a - 1] in _BEFORE or text[a - 1:a].isalnum()) for _, a, e in found)
+
+
 #: The kinds as the spans name them.
 _NAMES = {"password": "secret", "aws": "secret", "hex": "secret", "iso": "date", "dmy": "date"}
 
@@ -351,9 +431,40 @@ def replaced(text: str | None, key: bytes, back: bool = False, known: dict | Non
         return text, []
     known = {} if known is None else known
     found, several = finds(text)
-    if (several or any(_GLUED.match(text, e) or (a and text[a - 1] in _BEFORE or text[a - 1:a].isalnum()) for _, a, e in found)) and 0 < len(found) <= WALKED:
-        new, found = _walked(text, found, key, back)
-        return new, [(_NAMES.get(k, k), a, b - a) for k, a, b in found]
+    if not found or not (several or _touched(text, found) or _NUMBERS.search(text)):
+        return _plain(text, found, key, back, known)
+    cuts, done, at = _cells(text), [], 0
+    holding = []  # the cells with finds
+    for lo, hi in zip(cuts, cuts[1:]):
+        if at < len(found) and found[at][1] < hi:
+            holding.append((lo, hi))
+            while at < len(found) and found[at][1] < hi:
+                at += 1
+    beside, last = "", len(text) if back else 0  # what the cell before (or after, on the way back) has become
+    for lo, hi in reversed(holding) if back else holding:
+        beside = (text[hi:min(last, hi + REACH)] + beside)[:REACH] if back else (beside + text[max(last, lo - REACH):lo])[-REACH:]
+        cell = text[lo:hi]
+        own, several = finds(cell)
+        if several or _touched(cell, own) or _NUMBERS.search(text, max(0, lo - 1), hi + 2):
+            left, right = (text[max(0, lo - REACH):lo], beside) if back else (beside, text[hi:hi + REACH])
+            new, own = _walked(cell, own, key, back, left, right)
+            spans = [(_NAMES.get(k, k), a, b - a) for k, a, b in own]
+        else:
+            new, spans = _plain(cell, own, key, back, known)
+        done.append((lo, hi, new, spans))
+        beside, last = (new + beside, lo) if back else (beside + new, hi)
+    parts, out, size, at = [], [], 0, 0
+    for lo, hi, new, spans in reversed(done) if back else done:
+        parts += [text[at:lo], new]
+        size += lo - at
+        out += [(kind, size + start, n) for kind, start, n in spans]
+        size += len(new)
+        at = hi
+    return "".join(parts) + text[at:], out
+
+
+def _plain(text: str, found: list[tuple[str, int, int]], key: bytes, back: bool, known: dict) -> tuple[str, list[tuple[str, int, int]]]:
+    """The text with each find's first pseudonym, and (kind, start, length) of each."""
     parts, spans, at, size = [], [], 0, 0
     for kind, start, end in found:
         value = text[start:end]
