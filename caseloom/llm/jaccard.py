@@ -344,9 +344,13 @@ def _stars(links: DataFrame) -> DataFrame:
 MEMBERS, ELEMENTS, COLUMNS, BATCH = 256, 512, 512, 1000
 
 
+def _side(blocks: DataFrame, keys: list[str]) -> Column:
+    return F.struct(*[c for c in blocks.columns if c not in keys and c != "parts"])
+
+
 def _met(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of blocks x and y (structs) of one key, each once; a key with many blocks is spread over tasks."""
-    rest = F.struct(*[c for c in blocks.columns if c not in keys and c != "parts"])
+    rest = _side(blocks, keys)
     one = blocks.select(*keys, F.col("part").alias("_p"), rest.alias("x"))
     two = blocks.select(*keys, F.explode(F.sequence(F.lit(0), F.col("part"))).alias("_p"), rest.alias("y"))
     return one.join(two, [*keys, "_p"]).drop("_p")
@@ -366,20 +370,25 @@ def _within(links: DataFrame, stars: DataFrame, firsts: DataFrame) -> DataFrame:
     known = salted_join(members, saved(counts, "star-counts"), "star", "sig", hot_keys(members, "star"))
     known = known.withColumns({"fars": F.ceil(F.col("far_") / MEMBERS), "nears": F.ceil(F.col("near_") / MEMBERS)})
     near = known.filter("not far").select("sig", (F.col("w_near") - F.col("w")).alias("more"))
-    # near blocks come first; a pair of them needs no comparing
-    part = F.when(F.col("far"), F.col("nears") + F.pmod(F.xxhash64("sig"), F.col("fars"))).otherwise(F.pmod(F.xxhash64("sig"), F.col("nears")))
-    blocks = known.filter("far_ > 0").withColumn("part", part.cast("int")).groupBy("star", "part").agg(F.first("far").alias("far"), F.first("n_c").alias("n_c"), F.collect_list(F.struct("sig", "n", "w", "gone", "d")).alias("m"))
-    met = _met(saved(blocks, "star-blocks"), ["star"]).filter("x.far or y.far")
+    # near sets need no comparing with each other: far blocks meet far blocks, and are copied to each near block
+    part = F.pmod(F.xxhash64("sig"), F.when(F.col("far"), F.col("fars")).otherwise(F.col("nears"))).cast("int")
+    blocks = known.filter("far_ > 0").withColumn("part", part).groupBy("star", "far", "part").agg(F.first("n_c").alias("n_c"), F.first("nears").cast("int").alias("parts"), F.collect_list(F.struct("sig", "n", "w", "gone", "d")).alias("m"))
+    blocks = saved(blocks, "star-blocks")
+    far = blocks.filter("far")
+    copied = far.select("star", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), _side(far, ["star"]).alias("y"))
+    met = blocks.filter("not far").select("star", "part", _side(blocks, ["star"]).alias("x")).join(copied, ["star", "part"]).select("x", "y")
+    met = met.unionByName(_met(far, ["star"]).select("x", "y"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (_Lists(b.column(i), "m") for i in (0, 1))
             centre, part = b.column(0).field("n_c").to_numpy(), [b.column(i).field("part").to_numpy() for i in (0, 1)]
+            far = b.column(0).field("far").to_pylist()  # the second one always is
             for i in range(b.num_rows):
                 one, two = x.row(i, "sig", "n", "w", "gone"), y.row(i, "sig", "n", "w", "gone")
                 shared = _common(x.binary(i, "d"), y.binary(i, "d"))
                 linked = 180 * (centre[i] - one[3][:, None] - two[3][None, :] + shared) >= 80 * (one[1][:, None] + two[1][None, :])
-                if part[0][i] == part[1][i]:
+                if far[i] and part[0][i] == part[1][i]:
                     np.fill_diagonal(linked, False)
                     sig, more = one[0], linked @ one[2]
                 else:
@@ -436,8 +445,9 @@ def _across(lists: DataFrame) -> DataFrame:
     size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
     band = F.floor(F.log2(F.col("pos") + 1.0)).cast("int")  # positions of one block are alike
     spread = lists.withColumns({"size": size, "band": band}).withColumn("size", F.explode(F.array("size", F.col("size") + 1)))  # linked sets' sizes differ by 1.25 at most
-    counts = spread.groupBy("token", "size").agg(F.count("*").alias("k"), F.min("star").alias("low"), F.max("star").alias("high")).filter("low <> high").select("token", "size", F.ceil(F.col("k") / ELEMENTS).alias("slots"))
-    placed = spread.join(saved(counts, "list-counts"), ["token", "size"]).withColumn("slot", F.pmod(F.xxhash64("sig"), F.col("slots")))
+    counts = spread.groupBy("token", "size").agg(F.count("*").alias("k"), F.min("star").alias("low"), F.max("star").alias("high"), F.min("n").alias("n_least")).filter("low <> high").select("token", "size", "n_least", F.ceil(F.col("k") / ELEMENTS).alias("slots"))
+    # what has no room for the overlap even with the list's smallest set is skipped before any copy
+    placed = spread.join(saved(counts, "list-counts"), ["token", "size"]).filter(F.col("n") - F.col("pos") >= needed(F.col("n"), F.col("n_least"))).withColumn("slot", F.pmod(F.xxhash64("sig"), F.col("slots")))
     # a large star's members are in blocks of their own, which needn't meet each other
     own = F.when(F.col("large"), F.col("star")).otherwise(0)
     packed = placed.groupBy("token", "size", "band", "slot", own.alias("own")).agg(F.max(F.col("n") - F.col("pos")).alias("reach"), F.min("n").alias("least"), F.collect_list(F.struct("sig", "n", "pos", "star")).alias("e"))
@@ -472,11 +482,13 @@ def components(links: DataFrame) -> DataFrame:
     """node, label: the smallest node that each linked node reaches. Labels pass along links and jump, round by round."""
     both = saved(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct(), "component-links")
     label = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "component-labels")
+    hot = hot_keys(both, "v")
     while True:
-        near = both.join(label.select(F.col("u").alias("v"), F.col("m").alias("x")), "v").groupBy("u").agg(F.min("x").alias("x"))
+        near = salted_join(both, label.select(F.col("u").alias("v"), F.col("m").alias("x")), "v", "u", hot).groupBy("u").agg(F.min("x").alias("x"))
         low = label.join(near, "u").select("u", F.col("m").alias("old"), F.least("m", "x").alias("m"))
         up = label.select(F.col("u").alias("m"), F.col("m").alias("x"))
-        new = saved(low.join(up, "m", "left").select("u", "old", F.least("m", F.coalesce("x", "m")).alias("m")), "component-labels")
+        low = saved(low, "component-lows")  # a large component's rows have one label: they are dealt
+        new = saved(salted_join(low, up, "m", "u", hot_keys(low, "m"), "left").select("u", "old", F.least("m", F.coalesce("x", "m")).alias("m")), "component-labels")
         if new.filter("m <> old").isEmpty():
             return new.select(F.col("u").alias("node"), F.col("m").alias("label"))
         label = new.select("u", "m")
