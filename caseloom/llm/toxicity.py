@@ -1,13 +1,14 @@
 """Severity grades by cumulative-link (proportional odds) regression on sparse text features.
 
 P(grade <= k) = sigmoid(theta_k - w.x): one weight vector serves all ordered thresholds. x holds the presence of a
-text's words and of their prefixes of 3 to 6 letters. The model is fitted on a bounded sample of labelled rows (the
-`most` smallest by hash of the id; every other step covers all rows): features whose share differs between clean and
-other rows by `Z` standard errors stay, and proximal AdaGrad fits their weights, its L1 step keeping them sparse. The
-expected severity is the sum over k of P(grade > k).
+text's words, of their prefixes of 3 to 6 letters, and of prefixes that at least 1, 2 or 4 in 100 of its distinct words
+have: what a long text may hold by chance is telling in a short one. The model is fitted on a bounded sample of labelled
+rows (the `most` smallest by hash of the id; every other step covers all rows): features that are commoner in graver rows,
+by a likelihood ratio of `TELLING` or more, stay, and proximal AdaGrad fits their weights, its L1 step keeping them
+sparse. The expected severity is the sum over k of P(grade > k).
 
 Cases: null and empty texts have no features, and get the severity of an empty text; labels that are null are left
-out; without labelled rows, or with one grade only, that grade (0 without any) is expected everywhere; repeated rows
+out; of texts that repeat a labelled id each counts, up to `most` in all; without labelled rows, or with one grade only, that grade (0 without any) is expected everywhere; repeated rows
 are scored alike; empty tables give empty tables; other columns are ignored by `score`. Texts are read as a whole.
 """
 
@@ -25,8 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows used to fit, at most; prefix lengths; standard errors and rows that a feature needs.
-MOST, PREFIXES, Z, ROWS = 8_000, (3, 4, 5, 6), 4.0, 4
+#: Labelled rows used to fit, at most; prefix lengths; shares (in 100 distinct words) that a prefix is told by.
+MOST, PREFIXES, SHARES = 8_000, (3, 4, 5, 6), (1, 2, 4)
+#: The log likelihood ratio (times 2) and the rows that a feature needs.
+TELLING, ROWS = 25.0, 4
 #: Documents whose P(grade > 0) reaches this are rejected.
 LIMIT = 0.15
 #: Characters that are taken off both ends of a token.
@@ -38,9 +41,22 @@ def words_of(text: str | None) -> set[str]:
     return {w for t in set((text or "").lower().split()) if (w := t.strip(EDGE))}
 
 
-def features(words: set[str]) -> set[str]:
-    """Each word (with a mark at its end) and its prefixes."""
-    return {w + "$" for w in words} | {w[:n] for w in words for n in PREFIXES if len(w) >= n}
+def features(words: set[str], of: int | None = None) -> set[str]:
+    """Each word (with a mark at its end), its prefixes, and with its share each prefix that many words have; words may
+    be some of a text's `of` distinct words, if they are all that begin with the same three letters."""
+    prefixes = Counter(w[:n] for w in words for n in PREFIXES if len(w) >= n)
+    of = len(words) if of is None else of
+    return {w + "$" for w in words} | set(prefixes) | {f"{p}%{x}" for p, k in prefixes.items() for x in SHARES if 100 * k >= x * of}
+
+
+def ratio(a: int, b: int, n1: int, n0: int) -> float:
+    """Twice the log likelihood ratio of two shares, a of n1 and b of n0, against one share for both."""
+    share = (a + b) / (n1 + n0)
+
+    def part(k: int, n: int) -> float:
+        return (k * np.log(k / n / share) if k else 0.0) + ((n - k) * np.log((n - k) / n / (1 - share)) if k < n else 0.0)
+
+    return float(2 * (part(a, n1) + part(b, n0)))
 
 
 @dataclass
@@ -85,8 +101,7 @@ def fit_words(rows: list[set[str]], grades: np.ndarray, steps: int = 400, rate:
 
     def differs(f: str) -> bool:
         a, b = hits[0][f], hits[1][f]
-        share = (a + b) / (n0 + n1)
-        return a + b >= ROWS and abs(b / n1 - a / n0) >= Z * max(share * (1 - share) * (1 / n0 + 1 / n1), 1e-12) ** 0.5
+        return a + b >= ROWS and b * n0 > a * n1 and ratio(b, a, n1, n0) >= TELLING
 
     names = sorted(f for f in set(hits[0]) | set(hits[1]) if differs(f))
     place = {f: i for i, f in enumerate(names)}
@@ -131,8 +146,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         m = fit_words([set(f.split()) for _, _, f in got], np.array([g for _, g, _ in got], dtype=np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps(m.weights)]), pa.array([m.thresholds.tolist()], pa.list_(pa.float64()))], names=["w", "t"])
 
-    fed = joined.mapInArrow(rows, "id string, grade int, words string").repartition(1)
-    got = fed.mapInArrow(train, "w string, t array<double>").collect()
+    fed = joined.mapInArrow(rows, "id string, grade int, words string")
+    fed = fed.orderBy(F.xxhash64("id"), "id", "grade", "words").limit(most)  # ids may repeat: what one task gets is bounded too
+    got = fed.coalesce(1).mapInArrow(train, "w string, t array<double>").collect()
     if not got:
         return fit_words([], np.zeros(0, dtype=np.int64))
     return Model(json.loads(got[0]["w"]), np.array(got[0]["t"], dtype=np.float64))
@@ -148,11 +164,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def totals(texts: list[str | None], weights: dict[str, float]) -> np.ndarray:
     """w.x of each text."""
-    starts = {f.rstrip("$")[:3] for f in weights}
+    starts = {start[:3] for f in weights for start in (f, f.rstrip("$"))}
     out = np.zeros(len(texts))
     for i, t in enumerate(texts):
-        near = {w for w in words_of(t) if w[:3] in starts}
-        out[i] = sum(sorted(weights[f] for f in features(near) if f in weights))
+        words = words_of(t)
+        near = {w for w in words if w[:3] in starts}
+        out[i] = sum(sorted(weights[f] for f in features(near, len(words)) if f in weights))
     return out
 
 

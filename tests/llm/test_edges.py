@@ -344,6 +344,9 @@ def test_toxicity_gradient_and_scores(spark):
     for r in got:
         words = {t.strip(toxicity.EDGE) for t in (text[r.doc_id] or "").lower().split()} - {""}
         feats = {x + "$" for x in words} | {x[:k] for x in words for k in (3, 4, 5, 6) if len(x) >= k}
+        for p in {f for f in feats if f[-1] != "$"}:
+            of_100 = 100 * sum(x.startswith(p) for x in words) / len(words)
+            feats |= {f"{p}%{x}" for x in (1, 2, 4) if of_100 >= x}
         s = sum(model.weights.get(f, 0.0) for f in feats)
         above = [1 / (1 + np.exp(t - s)) for t in model.thresholds]
         assert r.severity == pytest.approx(sum(above), abs=2e-6) and r.p_toxic == pytest.approx(above[0], abs=2e-6)
@@ -352,6 +355,17 @@ def test_toxicity_gradient_and_scores(spark):
     assert toxicity.words_of(long.upper() + "!") == {long}
 
 
+def test_toxicity_repeated_rows(spark):
+    rows = [(i % 40, ("vile %d words" if i % 2 else "kind %d words") % (i % 7), i % 2) for i in range(400)]
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string").repartition(5)
+    known = spark.createDataFrame([(i, i % 2) for i in range(40)] * 2, "doc_id long, grade int")  # each label stands twice
+    models = [toxicity.fit(docs, known, most=m) for m in (100, 100, 10_000)]
+    assert models[0].weights == models[1].weights and models[2].weights["vile$"] > 0
+    got = {r.text: r.p_toxic for r in toxicity.score(docs, models[2]).join(docs, "doc_id").collect()}
+    assert min(p for t, p in got.items() if "vile" in t) > 0.5 > max(p for t, p in got.items() if "kind" in t)
+    assert toxicity.features({"abcd", "abce"}, 100) >= {"abc%1", "abc%2"} and "abc%4" not in toxicity.features({"abcd", "abce"}, 100)
+
+
 def test_toxicity_held_out(spark):
     """Fitted on two thirds of the labels, held against the rest."""
     sf = "/root/testdata/sf0.1"
@@ -360,8 +374,8 @@ def test_toxicity_held_out(spark):
     held = labels.filter("doc_id % 3 = 0").withColumnRenamed("grade", "real")
     got = toxicity.score(docs.join(held, "doc_id", "left_semi"), model).join(held, "doc_id").collect()
     toxic = [r for r in got if r.real > 0]
-    assert sum(r.p_toxic >= toxicity.LIMIT for r in toxic) >= 0.85 * len(toxic)
-    assert sum(r.p_toxic < toxicity.LIMIT for r in got if r.real == 0) >= 0.98 * (len(got) - len(toxic))
+    assert sum(r.p_toxic >= toxicity.LIMIT for r in toxic) >= 0.9 * len(toxic)
+    assert sum(r.p_toxic < toxicity.LIMIT for r in got if r.real == 0) >= 0.99 * (len(got) - len(toxic))
 
 
 def test_urls_trees(spark):
