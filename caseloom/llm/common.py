@@ -28,15 +28,20 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
 HOT = 50_000
 
 
-def hot_keys(rows: DataFrame, key: str) -> DataFrame:
-    """key, _parts: the hot keys of rows, fewer than 100,000, and over how many parts their rows are dealt."""
+def hot_keys(rows: DataFrame, key: str) -> DataFrame | None:
+    """key, _parts: the hot keys of rows (a stored table), fewer than 100,000, and over how many parts their rows are
+    dealt; none where all rows together are too few for one."""
+    if rows.count() <= HOT:
+        return None
     counts = saved(rows.groupBy(key).agg(F.count("*").alias("_n")), "hot-counts")
     most = max(HOT, (counts.agg(F.sum("_n")).first()[0] or 0) // 100_000)
     return counts.filter(F.col("_n") > most).select(key, (F.floor(F.col("_n") / most) + 1).cast("int").alias("_parts"))
 
 
-def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
     """many joined with one (unique by key), rows of hot keys dealt over their parts by the hash of the column spread."""
+    if hot is None:
+        return many.join(one, key, how)
     hot = F.broadcast(hot)
     dealt = many.join(hot, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
     copied = one.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
