@@ -169,7 +169,7 @@ def _classes(profiles: DataFrame) -> tuple[np.ndarray, int]:
     """How common each counter's shingles are (bytes), and from which class on they are common for sure."""
     summed = profiles.filter("part is not null").select("part", "counts").repartition("part").mapInArrow(_summed, "part int, counts binary")
     counts = np.zeros((1 << SKETCH) // PART * PART, dtype=np.int64).reshape(-1, PART)
-    for r in summed.toLocalIterator():  # of fixed size
+    for r in summed.collect():  # of fixed size
         counts[r["part"]] = np.frombuffer(zlib.decompress(bytes(r["counts"])), dtype="<i4")
     counts = counts.reshape(-1)
     load = max(1.0, float(counts.mean()))
@@ -281,7 +281,7 @@ def _filter_bits(ids: DataFrame) -> np.ndarray:
 
     bits = np.zeros((width // PART, PART), dtype=np.uint8)
     got = ids.mapInArrow(run, "part int, bits binary").repartition("part").mapInArrow(union, "part int, bits binary")
-    for r in got.toLocalIterator():
+    for r in got.collect():  # 2 MB at most
         bits[r["part"]] = np.frombuffer(zlib.decompress(bytes(r["bits"])), dtype=np.uint8)
     return np.unpackbits(bits.reshape(-1)).astype(bool)
 
