@@ -206,6 +206,31 @@ def test_manifest_against_brute_force(spark, rows, tmp_path):
     assert sorted(map(tuple, got), key=str) == sorted(brute_merkle(rows), key=str)
 
 
+def test_manifest_of_greatest_longs(spark, tmp_path):
+    """Where 1 is added to the greatest long, the leaf changes like any other."""
+    most = 2**63 - 1
+    rows = [(i, "s", "en" if i % 2 else None, [most, most - 1, -most - 1, -1][i % 4], "t") for i in range(120)] + [(i, "s", "en", most, None) for i in (-most - 1, most)]
+    tampered = [r[0] for r in rows if zlib.crc32(str(r[0]).encode()) % 7 == 0 and r[3] == most]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op13_merkle(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(brute_merkle(rows), key=str)
+    assert tampered and not any(r.verified for r in got if r.doc_id in tampered)
+
+
+def test_manifest_of_groups_that_are_no_text(spark):
+    """Groups whose bytes are no UTF-8 stand in order of bytes."""
+    langs = [b"\xff\xfe", None, b"\xc3", b"\xc3\xa9", b"", b"en"]
+    docs = spark.createDataFrame([(i, lang) for i, lang in enumerate(langs)], "doc_id long, lang binary")
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    field = lambda b: b"-" if b is None else str(len(b)).encode() + b":" + b
+    leaves = {i: sha(field(str(i).encode()) + field(lang)) for i, lang in enumerate(langs)}
+    level = [leaves[i] for i in (1, 4, 5, 2, 3, 0)]
+    while len(level) > 1:
+        level = [sha("".join(level[i:i + 2]).encode()) for i in range(0, len(level), 2)]
+    got = merkle.manifest(docs, ["doc_id", "lang"], "lang", "doc_id").collect()
+    assert {r.doc_id: r.leaf for r in got} == leaves and {r.root for r in got} == set(level)
+
+
 def test_manifest_of_small_blocks(spark):
     """Many rounds give the tree that one gives."""
     rows = [(i, "s", "en" if i % 3 else "fr", i, str(i)) for i in range(100)]
