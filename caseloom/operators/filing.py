@@ -105,10 +105,10 @@ def filings(df: DataFrame) -> DataFrame:
     })
 
 
-def mediator_votes(rounds: DataFrame, key: str) -> DataFrame:
-    """key, round, overall, approved, note: the latest round of each key. The mean of three scores passes at 8, any round
+def mediator_votes(rounds: DataFrame, key: str, *ties: str) -> DataFrame:
+    """key, round, overall, approved, note: the latest round of each key; of equal ones the first by ties. The mean of three scores passes at 8, any round
     from the second on passes; what is unresolved then stands in a numbered note."""
-    last = rounds.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("round")))).filter("r = 1")
+    last = rounds.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("round"), *ties))).filter("r = 1")
     overall = (F.col("completeness") + F.col("legal") + F.col("procedure")) / 3.0
     out = last.withColumn("overall", F.round(overall, 6)).withColumn("approved", (overall >= 8.0) | (F.col("round") >= 2))
     note = F.array_join(F.transform("unresolved", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")

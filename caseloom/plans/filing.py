@@ -57,10 +57,11 @@ def pt5_filings(spark, sf_dir):
 
 
 def pt7_votes(spark, sf_dir):
-    """Each line of an order as a round of its debate; scores and open issues follow from its keys."""
-    l = table(spark, sf_dir, "lineitem")
-    rounds = l.select("l_orderkey", F.col("l_linenumber").cast("long").alias("round"), (F.col("l_quantity") % 11).alias("completeness"), (F.col("l_partkey") % 11).alias("legal"), (F.col("l_suppkey") % 11).alias("procedure"), F.slice(F.array(F.lit("Name the officer"), F.lit("Attach the receipt")), 1, (F.col("l_partkey") % 3).cast("int")).alias("unresolved"))
-    return filing.mediator_votes(rounds, "l_orderkey")
+    """Each line of an order as a round of its debate; scores and open issues follow from its keys. Of several lines with
+    the latest number the first in the table's file counts, which is what the SQL's open order gives on one thread."""
+    l = table(spark, sf_dir, "lineitem").select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("place"))
+    rounds = l.select("l_orderkey", "place", F.col("l_linenumber").cast("long").alias("round"), (F.col("l_quantity") % 11).alias("completeness"), (F.col("l_partkey") % 11).alias("legal"), (F.col("l_suppkey") % 11).alias("procedure"), F.slice(F.array(F.lit("Name the officer"), F.lit("Attach the receipt")), 1, (F.col("l_partkey") % 3).cast("int")).alias("unresolved"))
+    return filing.mediator_votes(rounds, "l_orderkey", "place")
 
 
 QUERIES = {f.__name__: f for f in (tr4_dates, tr5_entities, tr6_context, pt4_objections, pt4_merged, pt5_filings, pt7_votes)}
