@@ -19,6 +19,7 @@ from caseloom.functions.text import stable_id
 from caseloom.operators.blocks import split_blocks
 
 MOST_BYTES = 50 * 1024 * 1024
+HEAD = 65_536
 
 
 #: Bounds of zip archives.
@@ -42,13 +43,18 @@ def load_originals(spark: SparkSession, path: str, most: int = MOST_BYTES) -> Da
     return own.unionByName(large)
 
 
-def scanned_originals(spark: SparkSession, path: str, head: int = 65_536, most: int = MOST_BYTES) -> DataFrame:
-    """path, size, sha256, format, kind, head, accepted: what is known of files without their contents, which are hashed
-    and looked at where they are read, and don't go on in the rows (zip archives' go to the check of their members)."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def scanned_originals(spark: SparkSession, path: str, head: int = HEAD, most: int = MOST_BYTES) -> DataFrame:
+    """scanned() of the files below a folder."""
+    return scanned(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), head, most)
+
+
+def scanned(raw: DataFrame, head: int = HEAD, most: int = MOST_BYTES) -> DataFrame:
+    """path, size, sha256, format, kind, head, accepted: what is known of files (path, length, content: loose ones or rows
+    of a container) without their contents, which are hashed and looked at where they are read, and don't go on in the
+    rows (zip archives' go to the check of their members)."""
     name = F.element_at(F.split("path", "/"), -1)
     own = raw.filter(F.col("length") <= most).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), detected_format(F.col("content"), name).alias("format"), F.substring("content", 1, head).alias("head"))
-    own = own.select("path", "size", "sha256", "format", _text_kind("head").alias("kind"), "head", F.lit(True).alias("accepted"))
+    own = own.select("path", "size", "sha256", "format", _text_kind("head", F.col("size") > head).alias("kind"), "head", F.lit(True).alias("accepted"))
     null = lambda t: F.lit(None).cast(t)
     large = raw.filter(F.col("length") > most).select("path", F.col("length").alias("size"), null("string").alias("sha256"), null("string").alias("format"), null("string").alias("kind"), null("binary").alias("head"), F.lit(False).alias("accepted"))
     return own.unionByName(large)
@@ -95,14 +101,15 @@ def detected_format(content: Column, name: Column, declared: Column | None = Non
     )
 
 
-def text_kind(sample: bytes) -> str | None:
-    """rtf, email, csv or text, by what the first bytes of a file read like; None if they are no text."""
+def text_kind(sample: bytes, cut: bool = False) -> str | None:
+    """rtf, email, csv or text, by what the first bytes of a file read like; None if they are no text. Of a sample that is
+    cut from a longer file the last character may be there in part."""
     if not sample or (b"\0" in sample[:4096] and not sample.startswith((codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE))):
         return None
     text = ""
-    for name in ("utf-8-sig", "utf-16", "latin-1"):
+    for decode in (codecs.getincrementaldecoder("utf-8-sig")().decode, lambda b, final: codecs.utf_16_decode(b, "strict", final)[0], lambda b, final: b.decode("latin-1")):
         try:
-            text = sample.decode(name)
+            text = decode(sample, final=not cut)
             break
         except UnicodeError:
             continue
@@ -122,8 +129,8 @@ def text_kind(sample: bytes) -> str | None:
 
 
 @F.pandas_udf(T.StringType())
-def _text_kind(sample: pd.Series) -> pd.Series:
-    return sample.map(lambda b: None if b is None else text_kind(bytes(b)))
+def _text_kind(sample: pd.Series, cut: pd.Series) -> pd.Series:
+    return pd.Series([None if b is None else text_kind(bytes(b), bool(c)) for b, c in zip(sample, cut)], dtype=object)
 
 
 def validated(content: Column, name: Column, declared: Column) -> Column:
@@ -134,7 +141,7 @@ def validated(content: Column, name: Column, declared: Column) -> Column:
     refused = _starts(content, "4D5A", "7F454C46", "526172211A07", "377ABCAF271C", "1F8B")
     size = F.coalesce(F.octet_length(content), F.lit(0))
     plain = ~zipped & binary.isNull() & ~refused
-    members, text = _members(F.when(zipped, content)), _text_kind(F.when(plain & (size > 0), F.substring(content, 1, 65536)))
+    members, text = _members(F.when(zipped, content)), _text_kind(F.when(plain & (size > 0), F.substring(content, 1, HEAD)), size > HEAD)
     has = lambda n: F.array_contains(members["names"], n)
     office = F.when(members["problem"].isNull() & has("[Content_Types].xml"), F.when(has("word/document.xml"), "docx").when(has("xl/workbook.xml"), "xlsx"))
     kind = F.when(size > 0, F.when(zipped, office).otherwise(F.coalesce(binary, F.when(plain, text))))

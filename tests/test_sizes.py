@@ -5,6 +5,7 @@ import os
 import duckdb
 
 import __spark_entry__ as entry
+from caseloom.sources import files
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,3 +31,11 @@ def test_votes_of_tied_lines(spark, tmp_path):
     for name, rows in (("a", "l_partkey % 9 = 0"), ("b", "l_partkey % 9 > 0")):  # Spark reads larger files first
         duckdb.sql(f"COPY (SELECT * REPLACE (l_linenumber % 3 AS l_linenumber) FROM '{SF}/lineitem.parquet' WHERE {rows} ORDER BY hash(l_partkey, l_extendedprice)) TO '{folder}/{name}.parquet'")
     assert same(spark, tmp_path, "pt7_votes", ["lineitem"]) > 1000
+
+
+def test_files_cut_within_a_character(spark, tmp_path):
+    rows = [(0, "de", "ß" * 40_000 + "."), (100, "de", "yyyy" + " é. " * 40_000), (200, "fr", "é"), (300, "fr", "")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert same(spark, tmp_path, "src1_originals", ["documents"]) == 4
+    cut = ("x" + "ß" * 9).encode()[:-1]
+    assert files.text_kind(cut, True) == "text" and files.text_kind(cut[:-1]) == "text" and files.text_kind(b"\xff\xfea\0b", True) == "text" and files.text_kind(b"caf\xe9s") == "text"
