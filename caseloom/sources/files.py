@@ -34,29 +34,43 @@ MEDIA_TYPES = {
 GENERIC = ["", "application/octet-stream", "binary/octet-stream"]
 
 
+def _binary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+
+
+def _known(raw: DataFrame) -> list[str]:
+    """The columns besides those of a file that rows of a container have."""
+    return [c for c in raw.columns if c not in ("path", "modificationTime", "length", "content")]
+
+
 def load_originals(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataFrame:
-    """path, size, sha256, content, accepted: files as they are. Larger ones are listed by name and size alone, as the
-    bound is put to the scan before any content is read."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    own = raw.filter(F.col("length") <= most).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), "content", F.lit(True).alias("accepted"))
-    large = raw.filter(F.col("length") > most).select("path", F.col("length").alias("size"), F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("binary").alias("content"), F.lit(False).alias("accepted"))
+    """loaded() of the files below a folder."""
+    return loaded(_binary(spark, path), most)
+
+
+def loaded(raw: DataFrame, most: int = MOST_BYTES) -> DataFrame:
+    """path, size, sha256, content, accepted: files (path, length, content: loose ones or rows of a container) as they
+    are. Larger ones are listed by name and size alone, as the bound is put to the scan before any content is read."""
+    keys = _known(raw)
+    own = raw.filter(F.col("length") <= most).select(*keys, "path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), "content", F.lit(True).alias("accepted"))
+    large = raw.filter(F.col("length") > most).select(*keys, "path", F.col("length").alias("size"), F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("binary").alias("content"), F.lit(False).alias("accepted"))
     return own.unionByName(large)
 
 
 def scanned_originals(spark: SparkSession, path: str, head: int = HEAD, most: int = MOST_BYTES) -> DataFrame:
     """scanned() of the files below a folder."""
-    return scanned(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), head, most)
+    return scanned(_binary(spark, path), head, most)
 
 
 def scanned(raw: DataFrame, head: int = HEAD, most: int = MOST_BYTES) -> DataFrame:
     """path, size, sha256, format, kind, head, accepted: what is known of files (path, length, content: loose ones or rows
     of a container) without their contents, which are hashed and looked at where they are read, and don't go on in the
     rows (zip archives' go to the check of their members)."""
-    name = F.element_at(F.split("path", "/"), -1)
-    own = raw.filter(F.col("length") <= most).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), detected_format(F.col("content"), name).alias("format"), F.substring("content", 1, head).alias("head"))
-    own = own.select("path", "size", "sha256", "format", _text_kind("head", F.col("size") > head).alias("kind"), "head", F.lit(True).alias("accepted"))
+    keys, name = _known(raw), F.element_at(F.split("path", "/"), -1)
+    own = raw.filter(F.col("length") <= most).select(*keys, "path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), detected_format(F.col("content"), name).alias("format"), F.substring("content", 1, head).alias("head"))
+    own = own.select(*keys, "path", "size", "sha256", "format", _text_kind("head", F.col("size") > head).alias("kind"), "head", F.lit(True).alias("accepted"))
     null = lambda t: F.lit(None).cast(t)
-    large = raw.filter(F.col("length") > most).select("path", F.col("length").alias("size"), null("string").alias("sha256"), null("string").alias("format"), null("string").alias("kind"), null("binary").alias("head"), F.lit(False).alias("accepted"))
+    large = raw.filter(F.col("length") > most).select(*keys, "path", F.col("length").alias("size"), null("string").alias("sha256"), null("string").alias("format"), null("string").alias("kind"), null("binary").alias("head"), F.lit(False).alias("accepted"))
     return own.unionByName(large)
 
 

@@ -39,3 +39,9 @@ def test_files_cut_within_a_character(spark, tmp_path):
     assert same(spark, tmp_path, "src1_originals", ["documents"]) == 4
     cut = ("x" + "ß" * 9).encode()[:-1]
     assert files.text_kind(cut, True) == "text" and files.text_kind(cut[:-1]) == "text" and files.text_kind(b"\xff\xfea\0b", True) == "text" and files.text_kind(b"caf\xe9s") == "text"
+
+
+def test_files_of_oddly_named_sources(spark, tmp_path):
+    rows = [(0, "a/b=c %", "x"), (None, "src1", "y"), (-5, "", "z"), (-205, "x:y", None), (7, None, "é"), (2**60 + 199, "n", "w")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert same(spark, tmp_path, "src1_originals", ["documents"]) == same(spark, tmp_path, "src2_decoded", ["documents"]) == 6
