@@ -1,11 +1,15 @@
 """Results on tables that are read in several tasks, files that are read in part, and what plans shuffle and store."""
 
 import os
+import time
 
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from caseloom.sources import files
+from caseloom.operators import evidence
+from caseloom.plans import records
+from caseloom.sources import files, views
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,3 +49,28 @@ def test_files_of_oddly_named_sources(spark, tmp_path):
     rows = [(0, "a/b=c %", "x"), (None, "src1", "y"), (-5, "", "z"), (-205, "x:y", None), (7, None, "é"), (2**60 + 199, "n", "w")]
     spark.createDataFrame(rows, "doc_id long, source string, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     assert same(spark, tmp_path, "src1_originals", ["documents"]) == same(spark, tmp_path, "src2_decoded", ["documents"]) == 6
+
+
+def shuffle_files(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(found.apply(i).getName().startswith("shuffle_") for i in range(found.size()))
+
+
+def test_shuffles_end_with_the_table_they_led_to(spark):
+    before = shuffle_files(spark)
+    kept = views.stored(spark.range(100_000).repartition(8, "id").groupBy((F.col("id") % 100).alias("k")).count(), "kept")
+    until = time.time() + 20
+    while shuffle_files(spark) > before and time.time() < until:
+        time.sleep(0.2)
+    assert shuffle_files(spark) <= before and kept.count() == 100 and spark.conf.get(views.CLEANUP) == "false"
+    views.discard(kept)
+    assert not [w for w in views._written if "/kept-" in w]
+
+
+def test_spans_move_once(spark):
+    found = spark.createDataFrame([("1", "date", "Date", "1/2/2020", 0.9, 1.0, 1, 0, 0, 8, "v", "b")], "case_id string, kind string, label string, quote string, weight double, confidence double, document_order long, sequence int, start int, end int, version_id string, block_id string")
+    made = evidence.atoms(found.withColumn("normalized", F.col("quote")))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and made.first().evidence_id.startswith("ev_")
+    atoms = records.stored_atoms(spark, SF, "case_id", "rank", records.FIRST)
+    assert atoms.columns == ["case_id", "rank", "spans"] and atoms.filter("size(spans) <> 1").isEmpty()
