@@ -7,7 +7,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from caseloom.operators import evidence
+from caseloom.operators import evidence, search
 from caseloom.plans import records
 from caseloom.sources import files, views
 
@@ -74,3 +74,15 @@ def test_spans_move_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and made.first().evidence_id.startswith("ev_")
     atoms = records.stored_atoms(spark, SF, "case_id", "rank", records.FIRST)
     assert atoms.columns == ["case_id", "rank", "spans"] and atoms.filter("size(spans) <> 1").isEmpty()
+
+
+def test_scores_are_summed_where_terms_are(spark):
+    blocks = spark.createDataFrame([("c", d, s, f"alpha beta w{d} w{s} gamma") for d in range(20) for s in range(3)] + [("c", 50, 0, "xalphabet betax")], "case_id string, document_id long, sequence long, text string")
+    queries = spark.createDataFrame([(1, "c", "alpha beta w3"), (2, "c", "gamma w7"), (3, "c", "alphabet beta")], "query_id long, case_id string, query string")
+    found = search.bm25(blocks, queries)
+    lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    sums = [i for i, x in enumerate(lines) if "Aggregate(keys=[query_id" in x and "functions=[sum(" in x]
+    assert sums and all("Exchange" not in lines[i + 1] for i in sums)
+    got = found.collect()
+    assert {(r.query_id, r.document_id) for r in got if r["rank"] == 1} == {(1, 3), (2, 7), (3, 50)}
+    assert [r.score for r in got if r.document_id == 50 and r.query_id == 3] == [2.0]
